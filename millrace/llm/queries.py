@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, packing, quality, sharding, warc
+from millrace.llm import langid, packing, quality, repeats, sharding, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.summary(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,6 +47,6 @@ def op10_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op5_language_id, op7_warc_round_trip, op9_quality_rules, op10_virtual_slot_sharding)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op5_language_id, op7_warc_round_trip, op9_quality_rules, op10_virtual_slot_sharding)
 }
 ORACLES: dict[str, str] = {}
