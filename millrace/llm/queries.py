@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, packing, quality, repeats, sharding, warc
+from millrace.llm import jaccard, langid, packing, quality, repeats, sharding, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, machines).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,6 +51,6 @@ def op10_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op5_language_id, op7_warc_round_trip, op9_quality_rules, op10_virtual_slot_sharding)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op5_language_id, op6_ngram_jaccard_join, op7_warc_round_trip, op9_quality_rules, op10_virtual_slot_sharding)
 }
 ORACLES: dict[str, str] = {}
