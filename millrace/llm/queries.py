@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard, langid, packing, quality, repeats, sharding, warc
+from millrace.llm import decontamination, jaccard, langid, packing, quality, repeats, sharding, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contained_items(_docs(spark, sf_dir).select("doc_id", "text"), benchmark.select("item_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held_out = langid.remainder(F.col("doc_id"), 5) == 0
@@ -51,6 +56,6 @@ def op10_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op5_language_id, op6_ngram_jaccard_join, op7_warc_round_trip, op9_quality_rules, op10_virtual_slot_sharding)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op4_benchmark_decontamination, op5_language_id, op6_ngram_jaccard_join, op7_warc_round_trip, op9_quality_rules, op10_virtual_slot_sharding)
 }
 ORACLES: dict[str, str] = {}
