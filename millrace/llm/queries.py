@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, jaccard, langid, packing, quality, repeats, sharding, warc
+from millrace.llm import decontamination, jaccard, langid, packing, ppm, quality, repeats, sharding, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scored(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -56,6 +60,6 @@ def op10_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op4_benchmark_decontamination, op5_language_id, op6_ngram_jaccard_join, op7_warc_round_trip, op9_quality_rules, op10_virtual_slot_sharding)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op4_benchmark_decontamination, op5_language_id, op6_ngram_jaccard_join, op7_warc_round_trip, op8_ppm_scores, op9_quality_rules, op10_virtual_slot_sharding)
 }
 ORACLES: dict[str, str] = {}
