@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, jaccard, langid, packing, ppm, quality, repeats, sharding, warc
+from millrace.llm import decontamination, html_text, jaccard, langid, packing, ppm, quality, repeats, sharding, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.contained_items(_docs(spark, sf_dir).select("doc_id", "text"), benchmark.select("item_id", "text"))
@@ -60,6 +64,6 @@ def op10_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op4_benchmark_decontamination, op5_language_id, op6_ngram_jaccard_join, op7_warc_round_trip, op8_ppm_scores, op9_quality_rules, op10_virtual_slot_sharding)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_best_fit_packing, op3_html_extraction, op4_benchmark_decontamination, op5_language_id, op6_ngram_jaccard_join, op7_warc_round_trip, op8_ppm_scores, op9_quality_rules, op10_virtual_slot_sharding)
 }
 ORACLES: dict[str, str] = {}
