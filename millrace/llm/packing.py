@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,8 @@ from millrace.llm.shared import written
 from millrace.llm.tokens import WordBpe
 
 CAPACITY, END_ID, GROUP = 4096, 1, 16384
-#: Search steps of bin completion in a group; beyond it the incumbent stands.
-STEPS = 20_000
+#: Bounds of one bin's search: fillings kept, lengths tried at each place, steps in all.
+FILLINGS, BREADTH, FILLING_STEPS = 4, 8, 120
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -73,89 +73,109 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, keep: int = 24) -> list[list[int]]:
-    """Undominated ways to fill `room`, least waste first: none can take one more piece, and none is
-    another with a piece swapped for a shorter one that leaves the longer one fitting."""
-    found: list[tuple[int, list[int]]] = []
-    steps = 0
-
-    def walk(at: int, room: int, chosen: list[int]) -> None:
-        nonlocal steps
-        steps += 1
-        at = max(at, bisect_left(sizes, -room))  # sizes are negated, longest first
-        extended = False
-        for k in range(at, len(sizes)):
-            n = -sizes[k]
-            if counts[n] > chosen.count(n):
-                extended = True
-                walk(k, room - n, [*chosen, n])
-                if steps > 400 or (found and found[0][0] == 0 and len(found) >= keep):
-                    return
-        if not extended and not any(counts[-s] > chosen.count(-s) and -s <= room for s in sizes[bisect_left(sizes, -room) :][:1]):
-            left = {n: counts[n] - chosen.count(n) for n in set(counts)}
-            if not any(left[-s] and any(n < -s <= n + room for n in chosen) for s in sizes[bisect_left(sizes, -(room + max(chosen, default=0))) :]):
-                insort(found, (room, chosen))
-                del found[keep:]
-
-    walk(0, room, [])
-    return [f for _, f in found] or [[]]
-
-
-def bin_completion(lengths: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
-    """Fewest bins found for the lengths: optimal if the bound is met or the search ends within `steps`."""
+class Stock:
+    """Pieces not yet packed, by length."""
+
+    def __init__(self, lengths: list[int]):
+        self.count: dict[int, int] = {}
+        for n in lengths:
+            self.count[n] = self.count.get(n, 0) + 1
+        self.sizes = sorted(self.count)
+
+    def take(self, n: int) -> None:
+        self.count[n] -= 1
+        if not self.count[n]:
+            del self.sizes[bisect_left(self.sizes, n)]
+
+    def put(self, n: int) -> None:
+        if not self.count[n]:
+            insort(self.sizes, n)
+        self.count[n] += 1
+
+    def fillings(self, room: int) -> list[list[int]]:
+        """Undominated ways to fill `room`, least waste first.
+
+        A piece that fills what is left dominates several that do. A filling is dominated too if it
+        takes one more piece, or a longer one in place of one of its own.
+        """
+        found: list[tuple[int, list[int]]] = []
+        steps = FILLING_STEPS
+
+        def walk(room: int, longest: int, chosen: list[int]) -> None:
+            nonlocal steps
+            steps -= 1
+            stop = bisect_right(self.sizes, min(room, longest))
+            if room <= longest and self.count.get(room):
+                found.append((0, [*chosen, room]))
+            elif not stop:
+                if not self.sizes or self.sizes[0] > room:
+                    found.append((room, chosen))
+            else:
+                for n in self.sizes[max(0, stop - BREADTH) : stop][::-1]:
+                    if steps <= 0 or len(found) >= 2 * FILLINGS:
+                        break
+                    self.take(n)
+                    walk(room - n, n, [*chosen, n])
+                    self.put(n)
+
+        walk(room, room, [])
+
+        def dominated(waste: int, chosen: list[int]) -> bool:
+            for n in chosen:
+                at = bisect_right(self.sizes, n + waste) - 1
+                if at >= 0 and self.sizes[at] > n and self.sizes[at] not in chosen:
+                    return True
+            return False
+
+        best = sorted(found, key=lambda f: (f[0], len(f[1])))
+        return [c for w, c in best if not dominated(w, c)][:FILLINGS] or [c for _, c in best[:1]] or [[]]
+
+
+def bin_completion(lengths: list[int], capacity: int, steps: int | None = None) -> list[list[int]]:
+    """Fewest bins found for the lengths. Best possible if the bound is met or the search comes to its
+    end; it gives up after `steps` bins, three times the number of pieces unless stated."""
     lengths = sorted(lengths, reverse=True)
     incumbent = best_fit(lengths, capacity)
-    bound = max(math.ceil(sum(lengths) / capacity), sum(n > capacity / 2 for n in lengths))
-    if len(incumbent) <= bound:
-        return incumbent
-    counts: dict[int, int] = {}
-    for n in lengths:
-        counts[n] = counts.get(n, 0) + 1
-    left, spare = steps, (len(incumbent) - 1) * capacity - sum(lengths)  # waste that still beats the incumbent
+    bound = max(math.ceil(sum(lengths) / capacity), sum(2 * n > capacity for n in lengths))
+    stock, left, total = Stock(lengths), len(lengths), sum(lengths)
+    tries = 3 * len(lengths) if steps is None else steps
     path: list[list[int]] = []
-    stack: list[tuple[list[list[int]], int]] = []
     waste = 0
 
     def options() -> list[list[int]]:
-        sizes = sorted(-n for n, c in counts.items() if c)
-        if not sizes:
-            return []
-        n = -sizes[0]
-        counts[n] -= 1
-        got = fillings(counts, [s for s in sizes if counts[-s]], capacity - n)
-        counts[n] += 1
-        return [[n, *f] for f in reversed(got)]
-
-    remaining = len(lengths)
-    stack.append((options(), 0))
-    while stack and left > 0:
-        choice, used = stack[-1]
-        if len(path) == len(stack):  # come back from below
+        n = stock.sizes[-1]
+        stock.take(n)
+        found = [[n, *f] for f in stock.fillings(capacity - n)]
+        stock.put(n)
+        return found[::-1]
+
+    stack = [options()] if len(incumbent) > bound else []
+    while stack and tries > 0:
+        if len(path) == len(stack):  # back from below: undo this level's bin
             for n in path[-1]:
-                counts[n] += 1
-            remaining += len(path[-1])
+                stock.put(n)
+            left += len(path[-1])
             waste -= capacity - sum(path.pop())
-        if not choice:
+        if not stack[-1]:
             stack.pop()
             continue
-        left -= 1
-        bin_ = choice.pop()
-        if waste + capacity - sum(bin_) > spare:
-            choice.clear()  # the rest waste more
+        tries -= 1
+        chosen = stack[-1].pop()
+        if waste + capacity - sum(chosen) > (len(incumbent) - 1) * capacity - total:
+            stack[-1].clear()  # the others of this level waste as much or more
             continue
-        for n in bin_:
-            counts[n] -= 1
-        remaining -= len(bin_)
-        waste += capacity - sum(bin_)
-        path.append(bin_)
-        if not remaining:
-            incumbent = [list(b) for b in path]
-            spare = (len(incumbent) - 1) * capacity - sum(lengths)
-            if len(incumbent) <= bound:
-                break
-            stack.append(([], used))
-        else:
-            stack.append((options(), used))
+        for n in chosen:
+            stock.take(n)
+        left -= len(chosen)
+        waste += capacity - sum(chosen)
+        path.append(chosen)
+        if left:
+            stack.append(options())
+            continue
+        incumbent = [list(b) for b in path]
+        if len(incumbent) <= bound:
+            break
+        stack.append([])
     return incumbent
 
 
