@@ -168,15 +168,20 @@ def overlaps(items: Items, texts: K.Texts) -> list[tuple[int, int, int, int, int
     return [(d, i, int(came_from[s] - texts.start[d]), int(came_from[e - 1] + 1 - texts.start[d]), dist) for (d, i), (dist, s, e) in sorted(best.items())]
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item key, start, end, distance): items contained in documents, with the byte range of the best region."""
+def item_blocks(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[Items]:
+    """The benchmark in blocks small enough to broadcast: about BLOCK_BYTES and 500,000 items at most."""
     total = benchmark.agg(F.sum(F.octet_length(item_text)), F.count("*")).first()
     blocks = max(1, math.ceil((total[0] or 0) / BLOCK_BYTES), math.ceil(total[1] / 500_000))
-    kinds, out = f"{key} {dict(docs.dtypes)[key]}, {item_key} {dict(benchmark.dtypes)[item_key]}, start bigint, end bigint, distance int", None
     for block in range(blocks):
-        own = benchmark.where(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == block) if blocks > 1 else benchmark
-        rows = own.select(item_key, item_text).collect()  # at most about BLOCK_BYTES
-        items = Items([r[0] for r in rows], [r[1] for r in rows])
+        own = benchmark.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(blocks)) == block) if blocks > 1 else benchmark
+        rows = own.select(item_key, item_text).collect()
+        yield Items([r[0] for r in rows], [r[1] for r in rows])
+
+
+def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, item key, start, end, distance): items contained in documents, with the byte range of the best region."""
+    kinds, out = f"{key} {dict(docs.dtypes)[key]}, {item_key} {dict(benchmark.dtypes)[item_key]}, start bigint, end bigint, distance int", None
+    for items in item_blocks(benchmark, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in K.chunks(batches, text):
@@ -191,8 +196,15 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that contain no item, by the text itself, so repeated and null keys are safe."""
-    marked = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    leaks = contained_items(marked, benchmark, "_h", text).select("_h").distinct()
-    return marked.join(leaks, "_h", "left_anti").select(*docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that contain no item, in one scan for each block of items."""
+    for items in item_blocks(benchmark, item_key, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            for b in K.chunks(batches, text):
+                clean = np.ones(b.num_rows, bool)
+                clean[[f[0] for f in overlaps(items, K.Texts(b.column(b.schema.get_field_index(text))))]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

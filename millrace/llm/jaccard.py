@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 from millrace.llm.components import components
-from millrace.llm.shared import written
+from millrace.llm.shared import discard, written
 
 WORDS = 5
 #: A shingle counted this often is frequent; the count only sees shingles met LOCAL times in a window.
@@ -262,7 +262,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     first = pairs.join(found.withColumnsRenamed({"set_id": "a", "shingles": "sa"}), "a")
     second = first.join(found.withColumnsRenamed({"set_id": "b", "shingles": "sb"}), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return second.where(100 * both >= 80 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    links = written(second.where(100 * both >= 80 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct(), "links")
+    discard(found)
+    return links
 
 
 def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,16 +276,34 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     order = Order(_frequent(made.where("shingle IS NOT NULL")))
     entries = written(_index(base, order), "index")
     shared = entries.groupBy("sig").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least <> most").select("sig")
-    entries = written(entries.join(shared, "sig").distinct(), "shared-index")
+    index, entries = entries, written(entries.join(shared, "sig").distinct(), "shared-index")
+    discard(index)
     texts = base.select(F.xxhash64("key").alias("r"), "text")
-    links = written(_verified(written(_pairs(entries, False), "pairs"), texts, sets), "links")
+    links = _verified(written(_pairs(entries, False), "pairs"), texts, sets)
     labels = components(links)
     labelled = entries.join(labels.select(F.col("v").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     more = written(_pairs(labelled, True), "crossing-pairs")
     if not more.isEmpty():
-        labels = components(links.union(written(_verified(more, texts, sets), "crossing-links")))
+        labels = components(links.union(_verified(more, texts, sets)))
+    discard(entries)
     named = sets.join(labels.select(F.col("v").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("key").alias("component_id"))
     return named.join(least, "label", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay when one document of each component stays: the one with the
+    smallest key (nulls last); of rows with equal key and text one stays."""
+    own = docs.withColumn("__own_s", F.xxhash64(F.col(key), F.col(text)))
+    linked = linked_documents(own.select("__own_s", F.col(text).alias("text")), "__own_s", "text")
+    linked = linked.select("__own_s", "component_id").distinct()
+    ids = own.select("__own_s", F.col(key).alias("__own_key")).distinct()
+    first = F.min(F.struct(F.col("__own_key").isNull(), "__own_key", "__own_s"))
+    stay = linked.join(ids, "__own_s").groupBy("component_id").agg(first.alias("first")).select(F.col("first.__own_s").alias("__own_s"))
+    stay = written(stay, "stay")
+    kept = own.join(stay, "__own_s", "left_semi")
+    if not ids.isEmpty() and own.select("__own_s").join(stay, "__own_s", "left_semi").groupBy("__own_s").count().where("count > 1").isEmpty():
+        return kept.select(*docs.columns)
+    return kept.dropDuplicates(["__own_s"]).select(*docs.columns)

@@ -182,3 +182,14 @@ def predict(docs: DataFrame, machines: Machines, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_pydict({key: b.column(0), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
 
     return docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, lang_pred string, score double")
+
+
+def keep_recognised(docs: DataFrame, machines: Machines, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs whose language is recognised with a score of at least `least`, in one scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in K.chunks(batches, text):
+            pred, score = machines.predict(K.Texts(b.column(b.schema.get_field_index(text))))
+            yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -24,13 +24,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
-from millrace.llm.shared import written
+from millrace.llm.shared import discard, written
 
 MIN_LENGTH, GRAM = 200, 32
 SEPARATOR = 0xFF  # never a byte of UTF-8
@@ -248,9 +249,12 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     live = found.join(twice, "gram").groupBy("h").agg(F.collect_set(F.struct("at", "gram")).alias("anchored"))
     copies = texts.where(F.octet_length("text") >= min_length).groupBy("h").agg(F.min("r").alias("r"), F.count("*").alias("n"))
     live = written(live.join(copies, "h"), "live-anchors")
+    discard(found)
     rows = texts.join(live.hint("shuffle_hash"), ["h", "r"])
     spans = _repeats(_contexts(rows, min_length), min_length).groupBy("h").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    return written(spans.join(live.select("h", "r"), "h").select("h", "r", "ranges"), "ranges")
+    ranges = written(spans.join(live.select("h", "r"), "h").select("h", "r", "ranges"), "ranges")
+    discard(live)
+    return ranges
 
 
 def joined(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -298,10 +302,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     """docs with the repeated bytes taken out of its text; a character cut in two goes as a whole."""
 
     @F.pandas_udf("string")
-    def cut(texts, ranges):
-        return texts.combine(ranges, lambda t, r: t if r is None or t is None else kept_bytes(t.encode(), joined(r)).decode("utf-8", "ignore"))
-
-    ranges = repeated_ranges(docs, key, text, min_length).select(F.col("h").alias("_h"), F.col("ranges").alias("_ranges"))
-    whole = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    marked = docs.withColumn("_h", whole).join(ranges, "_h", "left")
-    return marked.withColumn(text, F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_ranges")))).select(*docs.columns)
+    def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
+        return pd.Series([kept_bytes(t.encode(), joined(r)).decode("utf-8", "ignore") for t, r in zip(texts, ranges, strict=True)])
+
+    ranges = repeated_ranges(docs, key, text, min_length).select(F.col("h").alias("__own_h"), F.col("ranges").alias("__own_ranges"))
+    marked = docs.withColumn("__own_h", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(ranges.hint("shuffle_hash"), "__own_h", "left")
+    lost = F.col("__own_ranges").isNotNull()
+    whole = F.when(lost, cut(F.when(lost, F.col(text)).otherwise(""), F.coalesce("__own_ranges", F.array().cast("array<struct<lo:bigint,hi:bigint>>")))).otherwise(F.col(text))
+    return marked.withColumn(text, whole).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,8 +24,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost
-    executor costs a re-read, not a recomputation."""
+    executor costs a re-read, not a recomputation. Shuffle files of the finished step are let go."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing will read any more."""
+    for df in tables:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
