@@ -5,12 +5,19 @@ Everything here is a built-in expression, so it stays inside whole-stage code ge
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SHINGLE = 8
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: a lambda's variable stands for it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def norm_id(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), "_interface$", "")
 
@@ -35,9 +42,14 @@ def norm_text(c: Column) -> Column:
 
 def shingles(words: Column, k: int = SHINGLE) -> Column:
     """Distinct runs of k words; an empty array for fewer words."""
-    n = F.size(words)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(n >= k, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(n >= k, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return let(words, runs)
 
 
 #: Fixed patterns of task identifiers.
@@ -80,16 +92,18 @@ def trigram_diversity(words: Column) -> Column:
 
 def quality_reason(c: Column) -> Column:
     """First failing text check in fixed order, null if all pass."""
-    words = python_words(c)
-    low = python_words(F.lower(c))
-    ascii_less = F.length(F.regexp_replace(c, r"[\x00-\x7F]", ""))
-    return (
-        F.when(F.trim(c) == "", "empty")
-        .when(F.size(words) < 5, "short")
-        .when(trigram_diversity(words) < 0.15, "repetitive")
-        .when((F.length(c) > 20) & (ascii_less / F.length(c) > 0.6), "encoding")
-        .when((F.size(low) >= 8) & (F.size(F.array_distinct(low)) / F.size(low) < 0.3), "vocabulary")
-    )
+    high = F.length(F.regexp_replace(c, r"[\x00-\x7F]", ""))
+
+    def later(words: Column) -> Column:
+        low = F.transform(words, F.lower)
+        return (
+            F.when(F.size(words) < 5, "short")
+            .when(trigram_diversity(words) < 0.15, "repetitive")
+            .when((F.length(c) > 20) & (high / F.length(c) > 0.6), "encoding")
+            .when((F.size(words) >= 8) & (F.size(F.array_distinct(low)) / F.size(words) < 0.3), "vocabulary")
+        )
+
+    return F.when(F.trim(c) == "", "empty").otherwise(let(python_words(c), later))
 
 
 def observation_format(c: Column) -> Column:

@@ -15,12 +15,12 @@ WIN_MARGIN = 0.025
 def weighted_rate(score, weight):
     """Mean of the scores that exist, by weight; the plain mean where the weights sum to 0."""
     used = F.when(score.isNotNull(), weight)
-    return F.round(F.coalesce(F.sum(score * weight) / F.nullif(F.sum(used), F.lit(0.0)), F.avg(score)), 6)
+    return F.round(F.coalesce(F.sum(score * weight) / F.nullif(F.sum(used), F.lit(0.0)), F.avg(score)), 10)
 
 
 _RATES = """
 WITH s AS (SELECT l_orderkey AS rec, l_suppkey % 4 AS judge, l_linenumber AS q, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_discount END AS v, CASE WHEN l_linestatus = 'O' THEN 0.0 ELSE l_quantity END AS w FROM lineitem),
-r AS (SELECT rec, judge, round(coalesce(sum(v * w) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), avg(v)), 6) AS rate FROM s GROUP BY 1, 2)
+r AS (SELECT rec, judge, round(coalesce(sum(v * w) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), avg(v)), 10) AS rate FROM s GROUP BY 1, 2)
 """
 
 
@@ -37,10 +37,10 @@ def weighted_mean_by_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rates(spark, sf_dir)
 
 
-@query(_RATES + "SELECT rec, round(avg(rate), 9) AS score, count(rate) AS judges FROM r GROUP BY rec")
+@query(_RATES + "SELECT rec, round(avg(rate), 8) AS score, count(rate) AS judges FROM r GROUP BY rec")
 def response_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over the judges that gave a rate."""
-    return _rates(spark, sf_dir).groupBy("rec").agg(F.round(F.avg("rate"), 9).alias("score"), F.count("rate").alias("judges"))
+    return _rates(spark, sf_dir).groupBy("rec").agg(F.round(F.avg("rate"), 8).alias("score"), F.count("rate").alias("judges"))
 
 
 @query(_RATES + """

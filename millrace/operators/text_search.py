@@ -44,7 +44,7 @@ def line_grep_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT doc_id, CAST(sum(nl) AS bigint) AS newlines, CAST(sum(w) AS bigint) AS words, CAST(sum(b) AS bigint) AS bytes_ FROM (
-  SELECT doc_id, length(text) - length(replace(text, chr(10), '')) nl, len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '')) w, strlen(text) b FROM documents) GROUP BY ROLLUP (doc_id)""")
+  SELECT doc_id, length(text) - length(replace(text, chr(10), '')) nl, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) w, strlen(text) b FROM documents) GROUP BY ROLLUP (doc_id)""")
 def wc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each file and a total row."""
     each = table(spark, sf_dir, "documents").select(
@@ -85,7 +85,7 @@ def find_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT path, n FROM (SELECT 'd/' || source || '/' || doc_id || '.txt' AS path, len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, 'idiot|moron'))) AS n FROM documents) WHERE n > 0""")
+SELECT path, n FROM (SELECT 'd/' || source || '/' || doc_id || '.txt' AS path, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, 'idiot|moron'))) AS n FROM documents) WHERE n > 0""")
 def shell_grep_rc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shell command planned and run as a DataFrame: `grep -rcE 'idiot|moron' d`, files with hits."""
     path = F.concat(F.lit("d/"), "source", F.lit("/"), "doc_id", F.lit(".txt"))

@@ -94,7 +94,7 @@ def verdict(dist: Column, structured: Column, embed_ratio: Column, residual: Col
 
 
 @query("""
-WITH m AS (SELECT vec_id, list_aggregate(list_transform(embedding, x -> abs(x)::double), 'avg') mean_abs, list_aggregate(list_transform(embedding, x -> (abs(x) > 0.05)::int::double), 'avg') dens, embedding[1]::double a, embedding[2]::double b FROM embeddings)
+WITH m AS (SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: abs(x)::double), 'avg') mean_abs, list_aggregate(list_transform(embedding, lambda x: (abs(x) > 0.05)::int::double), 'avg') dens, embedding[1]::double a, embedding[2]::double b FROM embeddings)
 SELECT vec_id, CASE WHEN mean_abs < 1e-5 THEN 'COPY' WHEN abs(a) < 0.10 THEN 'NOISE-COPY' WHEN abs(b) > 0.80 THEN 'NOISED-COPY' WHEN abs(b) < 0.2 AND abs(a) > 0.02 AND b > 0 THEN 'LINEAR-COMBO' WHEN mean_abs * abs(a) < 0.0025 THEN 'TRIVIAL-EDIT' WHEN dens < 0.20 OR mean_abs > 100.0 THEN 'SPARSE-EDIT' END AS reason FROM m""")
 def dedup_verdict_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict cascade on stand-in metrics read off each vector."""
