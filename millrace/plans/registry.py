@@ -24,6 +24,7 @@ MODULES = (
     "millrace.operators.sampling",
     "millrace.operators.validation",
     "millrace.operators.dml",
+    "millrace.operators.transcripts",
 )
 
 
