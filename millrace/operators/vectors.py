@@ -70,7 +70,7 @@ def rel_dist_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_statistics(e: DataFrame) -> DataFrame:
     """(label, density, kurtosis): share of entries that matter and the excess kurtosis of all entries."""
-    x = e.select("label", F.explode("embedding").cast("double").alias("x"))
+    x = e.select("label", F.explode("embedding").alias("x")).withColumn("x", F.col("x").cast("double"))
     return x.groupBy("label").agg(F.round(F.avg((F.abs("x") > 0.05).cast("double")), 4).alias("density"), F.round(F.kurtosis("x"), 4).alias("kurtosis"))
 
 
