@@ -13,7 +13,7 @@ Which shingles are frequent only decides speed; any table gives the same result.
 all documents and holds at most `MAX_FREQUENT` shingles, so it can be broadcast.
 
 Documents with equal sets enter once. Within an index entry, each set is first paired with the most
-central one only, and pairs are verified exactly; then only sets that are still in different
+central one only, and pairs are verified exactly, after a bound from small sketches; then only sets that are still in different
 components, and that position and length don't rule out, are paired. So an entry of n near copies
 gives about n pairs, and no link between components is missed.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
@@ -40,8 +40,8 @@ WORDS = 5
 FREQUENT, LOCAL, WINDOW = 64, 4, 4_000_000
 MAX_FREQUENT = 500_000
 LONG = 200
-#: Members of an index entry from which pairs are made in blocks.
-BLOCK = 512
+#: Classes of a set's sketch.
+BUCKETS = 512
 
 
 def needed(n: np.ndarray | int):
@@ -244,6 +244,28 @@ def _pairs(rows: DataFrame, crossing: bool) -> DataFrame:
     return near.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall in each of BUCKETS classes (255: that many or more)."""
+    return np.minimum(np.bincount((s >> np.uint64(16)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs that the sketches don't rule out: the overlap is at most the sum of the smaller counts,
+    so no linked pair is lost, and only few sets have to travel for the exact test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS) for i in (4, 5))
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            open_ = (x == 255).any(1) | (y == 255).any(1)
+            yield b.select([0, 1]).filter(pa.array(open_ | (9 * most >= 4 * n)))
+
+    first = pairs.join(sketches.withColumnsRenamed({"set_id": "a", "n": "na", "sketch": "ka"}), "a")
+    both = first.join(sketches.withColumnsRenamed({"set_id": "b", "n": "nb", "sketch": "kb"}), "b")
+    return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar enough, by exact overlap of the shingle sets."""
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
@@ -255,15 +277,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             own = [(i, s) for i, s in zip(ids, document_sets(K.Texts(b.column(1))), strict=True) if len(s) and set_id(s) == i]
             flat = np.concatenate([s for _, s in own]) if own else np.zeros(0, np.uint64)
             ends = np.cumsum([0] + [len(s) for _, s in own])
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], ["set_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([i for i, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array([sketch(s) for _, s in own], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))),
+            ], ["set_id", "n", "sketch", "shingles"])
 
-    found = docs.join(of.hint("shuffle_hash"), "r").select("set_id", "text").mapInArrow(run, "set_id bigint, shingles array<bigint>")
+    found = docs.join(of.hint("shuffle_hash"), "r").select("set_id", "text").mapInArrow(run, "set_id bigint, n bigint, sketch binary, shingles array<bigint>")
     found = written(found, "sets")
-    first = pairs.join(found.withColumnsRenamed({"set_id": "a", "shingles": "sa"}), "a")
-    second = first.join(found.withColumnsRenamed({"set_id": "b", "shingles": "sb"}), "b")
+    likely = written(_likely(pairs, found.select("set_id", "n", "sketch")), "likely-pairs")
+    shingles = found.select("set_id", "shingles")
+    first = likely.join(shingles.withColumnsRenamed({"set_id": "a", "shingles": "sa"}), "a")
+    second = first.join(shingles.withColumnsRenamed({"set_id": "b", "shingles": "sb"}), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     links = written(second.where(100 * both >= 80 * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct(), "links")
-    discard(found)
+    discard(found, likely)
     return links
 
 
@@ -274,10 +301,10 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     made = written(_sets_and_counts(base), "sets-and-counts")
     sets = made.where("n IS NOT NULL").select("key", "n", "set_id").withColumn("r", F.xxhash64("key"))
     order = Order(_frequent(made.where("shingle IS NOT NULL")))
-    entries = written(_index(base, order), "index")
-    shared = entries.groupBy("sig").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).where("least <> most").select("sig")
-    index, entries = entries, written(entries.join(shared, "sig").distinct(), "shared-index")
-    discard(index)
+    # One shuffle of the index; entries of a single set go before anything else happens to them.
+    same = Window.partitionBy("sig")
+    index = _index(base, order).withColumn("least", F.min("set_id").over(same)).withColumn("most", F.max("set_id").over(same))
+    entries = written(index.where("least <> most").select("sig", "set_id", "size"), "index")
     texts = base.select(F.xxhash64("key").alias("r"), "text")
     links = _verified(written(_pairs(entries, False), "pairs"), texts, sets)
     labels = components(links)
