@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 BITS = 13
 #: Language families by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILY = {
