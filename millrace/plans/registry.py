@@ -25,6 +25,7 @@ MODULES = (
     "millrace.operators.validation",
     "millrace.operators.dml",
     "millrace.operators.transcripts",
+    "millrace.operators.lifecycle",
 )
 
 
