@@ -24,7 +24,7 @@ SELECT o_orderkey, o_custkey FROM orders q WHERE o_orderstatus = 'O'
 AND NOT EXISTS (SELECT 1 FROM orders c WHERE c.o_custkey = q.o_custkey AND c.o_orderstatus = 'P')""", doc="Waiting runs of submitters with none active.")
 
 sql_query("crowning_history", "orders", """
-SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS reign FROM (
+SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS bigint) AS reign FROM (
   SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM orders) x
 WHERE best IS NULL OR o_totalprice > best""", doc="Runs that beat all before them, numbered in order.")
 
