@@ -24,9 +24,8 @@ def collapsed_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tail_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that end in a cycle, and its period."""
-    d = table(spark, sf_dir, "documents").select("doc_id", X.column(X.tail_period, "int")("text").alias("period"))
-    return d.where("period > 0")
+    """Period of the cycle in which each document ends, 0 without one."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.column(X.tail_period, "int")("text").alias("period"))
 
 
 @query()
