@@ -8,10 +8,13 @@ are excluded; below the empty context all other bytes are equally likely. Byte 0
 never uses, ends a text and stands before its beginning. The score is the log10 probability of the
 text and its end.
 
+The trie is never held as a whole. All contexts that end in the same `SUFFIX` bytes, longer ones
+included, lie in one task, which needs nothing else but the counts of shorter contexts (at most 65,536
+entries, broadcast). There every (context, symbol) pair of any document gets its probability once; those
+of the `MAX_CONTEXTS` pairs met most often are broadcast, all others are looked up by a join.
+
 Beside it stands a word-unigram base. Counts of the `MAX_WORDS` most frequent words are broadcast,
-all other words are looked up by a join, so every count is exact. The trie keeps, from the shortest
-contexts on, those met most often, at most `MAX_ENTRIES` (context, symbol) entries for each length;
-where a context is missing, the shorter one predicts.
+all other words are looked up by a join, so every count is exact.
 
 Defined results: null texts are empty: one end token; repeated rows get equal scores; with no training
 document the base is that of unseen tokens and every byte is equally likely.
@@ -31,8 +34,12 @@ from millrace.llm import kernels as K
 from millrace.llm.shared import written
 
 ORDER = 5
-MAX_ENTRIES = 300_000
+#: What is broadcast; the rest is joined, so neither changes a result.
+MAX_CONTEXTS = 1_000_000
 MAX_WORDS = 300_000
+#: Last bytes of a context by which contexts are brought together, and pairs of which a trie is made at once.
+SUFFIX = 2
+PAIRS = 500_000
 WINDOW = 4_000_000
 #: Bytes of text taken at once: the arrays made of them are some hundred times as large.
 CHUNK = 1 << 19
@@ -172,11 +179,20 @@ def training(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(10)) != 0, F.lit(True))
 
 
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and the sums of n."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _counts(docs: DataFrame, order: int) -> DataFrame:
-    """(kind, key, n): word counts (kind 0) and context counts (kind 1), summed over all rows of docs."""
+    """(kind, key, n, met): word counts (kind 0) and context counts (kind 1), n summed over the learned
+    rows of docs, met over all; words of other rows are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]  # words, contexts, contexts of rows not learned
 
         def put(kind: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
             held[kind].append(np.unique(keys, return_counts=True))
@@ -186,29 +202,29 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
                     yield flush(kind)
 
         def merge(kind: int) -> None:
-            keys, n = (np.concatenate(x) for x in zip(*held[kind], strict=True))
-            order_ = np.argsort(keys, kind="stable")
-            keys, n = keys[order_], n[order_]
-            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-            held[kind] = [(keys[first], np.add.reduceat(n, first))]
+            held[kind] = [summed(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))]
 
         def flush(kind: int) -> pa.RecordBatch:
             merge(kind)
             keys, n = held[kind].pop()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), min(kind, 1), np.int32)), pa.array(keys.view(np.int64)), pa.array(n if kind < 2 else np.zeros_like(n)), pa.array(n)], ["kind", "key", "n", "met"])
 
         for b in K.chunks(batches, "text", CHUNK):
             texts = K.Texts(b.column(0))
+            own = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             words = K.Words(texts)
             if len(words.start):
-                yield from put(0, K.word_hashes(K.LOWER[texts.data], words))
-            data, at, _ = symbols(texts, order)
-            yield from put(1, contexts(data, at, order))
-        for kind in (0, 1):
+                hashes = K.word_hashes(K.LOWER[texts.data], words)[np.repeat(own, words.count)]
+                yield from put(0, hashes)
+            data, at, size = symbols(texts, order)
+            keys, own = contexts(data, at, order), np.repeat(own, size)
+            yield from put(1, keys[own])
+            yield from put(2, keys[~own])
+        for kind in range(3):
             if held[kind]:
                 yield flush(kind)
 
-    return docs.mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("text", "learned").mapInArrow(run, "kind int, key bigint, n bigint, met bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
 
 
 def _bounded(counts: DataFrame, most: int, weight: str = "n", least: int = 0) -> tuple[int, DataFrame]:
@@ -219,21 +235,49 @@ def _bounded(counts: DataFrame, most: int, weight: str = "n", least: int = 0) ->
     return least, counts.where(F.floor(F.log2(weight)) >= least)
 
 
-def train(counts: DataFrame, order: int, entries: int = MAX_ENTRIES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels of the trie: contexts met often enough, shortest first; a context is kept whole, and only
-    if the next shorter one is."""
-    grams, levels, least = counts.where("kind = 1"), [], 0
-    for k in range(order + 1):
-        mask = F.lit((1 << (8 * (k + 1))) - 1).cast("bigint")
-        own = grams.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")) if k < order else grams.select("key", "n")
-        ctx = F.shiftrightunsigned("key", 8)
-        total = own.groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("size"))
-        level = total.groupBy(F.floor(F.log2("total")).cast("int").alias("k")).agg(F.sum("size").alias("size")).collect()
-        while sum(r["size"] for r in level if r.k >= least) > entries:
-            least += 1
-        kept = own.join(total.where(F.floor(F.log2("total")) >= least).select("ctx"), ctx == F.col("ctx"), "left_semi").toPandas()
-        levels.append((kept["key"].to_numpy(np.int64).view(np.uint64), kept["n"].to_numpy(np.int64)))
-    return levels
+def _short(counts: DataFrame, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels of the trie below `length`, whole: at most 256 ** length entries in the longest."""
+    if not length:
+        return []
+    own = counts.where("kind = 1 and n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * length)) - 1).cast("bigint")).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    keys, n = own.column("key").to_numpy().view(np.uint64), own.column("n").to_numpy()
+    return [summed(keys & np.uint64((1 << (8 * (k + 1))) - 1), n) for k in range(length)]
+
+
+def probabilities(counts: DataFrame, order: int) -> DataFrame:
+    """(key, met, value) of every context and symbol in counts: how often all documents have it, and its
+    log10 probability in the trie of all learned contexts."""
+    length = min(SUFFIX, order)
+    shared = counts.sparkSession.sparkContext.broadcast(_short(counts, length))
+    cut = np.uint64((1 << (8 * length)) - 1)
+
+    def valued(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, n, met = (np.concatenate(x) for x in zip(*rows, strict=True))
+        seen = n > 0
+        own = [summed(keys[seen] & np.uint64((1 << (8 * (k + 1))) - 1), n[seen]) for k in range(length, order + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(met), pa.array(Trie([*shared.value, *own]).log10(keys))], ["key", "met", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0  # sorted by suffix, of which none is divided
+        for b in batches:
+            keys, n, met = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
+            if not len(keys):
+                continue
+            suffix = (keys >> np.uint64(8)) & cut
+            if rows >= PAIRS:
+                stop = int(np.searchsorted(suffix, (held[-1][0][-1] >> np.uint64(8)) & cut, side="right"))
+                if stop < len(keys):
+                    yield valued([*held, (keys[:stop], n[:stop], met[:stop])])
+                    held, rows = [], 0
+                    keys, n, met = keys[stop:], n[stop:], met[stop:]
+            held.append((keys, n, met))
+            rows += len(keys)
+        if held:
+            yield valued(held)
+
+    suffix = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(int(cut)).cast("bigint"))
+    own = counts.where("kind = 1").select("key", "n", "met", suffix.alias("suffix")).repartition("suffix").sortWithinPartitions("suffix")
+    return own.select("key", "n", "met").mapInArrow(run, "key bigint, met bigint, value double")
 
 
 _loaded: dict[str, tuple] = {}
@@ -244,30 +288,36 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(key), training(F.col(key)).alias("learned"), F.xxhash64(whole).alias("h"), whole.alias("text"))
-    learned = base.where("learned")
-    counts = written(_counts(learned.select("text"), order), "counts")
-    ends = learned.count()
+    counts = written(_counts(base, order), "counts")
+    ends = base.where("learned").count()
     words = counts.where("kind = 0").select("key", "n")
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = n_words + ends, distinct + (ends > 0)
-    least, frequent = _bounded(words, MAX_WORDS)
-    frequent = frequent.toPandas()
-    shared = spark.sparkContext.broadcast((train(counts, order), frequent["key"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)))
+    chances = written(probabilities(counts, order), "chances")
+    least, often = _bounded(chances, MAX_CONTEXTS, "met")
+    tables = [(t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()) for t in (often.select("key", "value").toArrow(), _bounded(words, MAX_WORDS)[1].toArrow())]
+    shared = spark.sparkContext.broadcast(tables)
     name, scale = uuid.uuid4().hex, float(np.log10(total + 0.1 * (distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _loaded:
             _loaded.clear()
-            levels, keys, n = shared.value
-            _loaded[name] = (Trie(levels), HashTable(keys), n.astype(float))
-        trie, table, n = _loaded[name]
+            (pairs, chance), (keys, n) = shared.value
+            _loaded[name] = (HashTable(pairs), chance, HashTable(keys), n.astype(float))
+        pairs, chance, table, n = _loaded[name]
         for b in K.chunks(batches, "text", CHUNK):
             texts = K.Texts(b.column(1))
             words = K.Words(texts)
             data, at, size = symbols(texts, order)
-            part = np.concatenate(([0.0], np.cumsum(trie.log10(contexts(data, at, order)))))
+            asked = contexts(data, at, order)
+            row = pairs.find(asked)
+            there = row >= 0
+            gain = np.zeros(len(asked))
+            gain[there] = chance[row[there]]
+            part = np.concatenate(([0.0], np.cumsum(gain)))
             stop = np.cumsum(size)
             score = part[stop] - part[stop - size]
+            far = np.concatenate(([0], np.cumsum(~there)))[np.concatenate(([0], stop))]
             hashes = K.word_hashes(K.LOWER[texts.data], words)
             row = table.find(hashes)
             known = row >= 0
@@ -280,18 +330,21 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array(words.count.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(got), pa.array(score),
                 pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rare]), pa.int32()), pa.array(flat.view(np.int64))),
-            ], ["h", "words", "seen", "got", "score", "rare"])
+                pa.ListArray.from_arrays(pa.array(far, pa.int32()), pa.array(asked[~there].view(np.int64))),
+            ], ["h", "words", "seen", "got", "score", "rare", "pairs"])
 
-    made = written(base.select("h", "text").mapInArrow(run, "h bigint, words bigint, seen bigint, got double, score double, rare array<bigint>"), "scores")
+    made = written(base.select("h", "text").mapInArrow(run, "h bigint, words bigint, seen bigint, got double, score double, rare array<bigint>, pairs array<bigint>"), "scores")
     one = made.groupBy("h").agg(*(F.first(c).alias(c) for c in ("words", "seen", "got", "score")), F.count("*").alias("copies"))
     rare = made.select("h", F.explode("rare").alias("key")).groupBy("key", "h").agg(F.count("*").alias("times"))
     rare = rare.join(words.withColumnRenamed("n", "c"), "key", "left")
     rare = rare.groupBy("h").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_seen"), F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) - F.lit(scale))).alias("rare_got"))
+    others = made.select("h", F.explode("pairs").alias("key")).join(chances.where(F.floor(F.log2("met")) < least).select("key", "value"), "key").groupBy("h").agg(F.sum("value").alias("rest"))
     end = float(np.log10(ends + 0.1) - scale)
-    each = one.join(rare, "h", "left").select(
+    each = one.join(rare, "h", "left").join(others, "h", "left").select(
         "h", (F.col("words") + 1).alias("n_tokens"),
         (F.col("seen") + F.coalesce(F.col("rare_seen") / F.col("copies"), F.lit(0)) + int(ends > 0)).cast("bigint").alias("n_known"),
-        (F.col("got") + F.coalesce(F.col("rare_got") / F.col("copies"), F.lit(0.0)) + F.lit(end)).alias("base_score"), "score",
+        (F.col("got") + F.coalesce(F.col("rare_got") / F.col("copies"), F.lit(0.0)) + F.lit(end)).alias("base_score"),
+        (F.col("score") + F.coalesce(F.col("rest") / F.col("copies"), F.lit(0.0))).alias("score"),
     )
     return base.select(key, "learned", "h").join(each, "h").select(
         key, (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"

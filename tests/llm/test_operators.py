@@ -311,6 +311,37 @@ def test_ppm(spark, rows, monkeypatch, order):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
 
 
+def test_ppm_keeps_every_context(spark, monkeypatch):
+    rng, order = random.Random(8), 5
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrst", k=9_000))) for i in range(44)] + [(i, "abc " * 300) for i in range(44, 60)]
+    seen, learned = [defaultdict(Counter) for _ in range(order + 1)], lambda k: zlib.crc32(str(k).encode()) % 10 != 0
+    padded = [b"\xff" * order + t.encode() + b"\xff" for _, t in rows]
+    for (k, _), b in zip(rows, padded, strict=True):
+        for i in range(order, len(b) if learned(k) else 0):
+            for o in range(order + 1):
+                seen[o][b[i - o : i]][b[i]] += 1
+    assert sum(map(len, seen[order].values())) > 320_000 and not all(learned(k) for k, _ in rows)
+    monkeypatch.setattr(ppm, "PAIRS", 5_000, raising=False)
+    for most in (1_000_000, 30):
+        monkeypatch.setattr(ppm, "MAX_CONTEXTS", most, raising=False)
+        got = {r.doc_id: r.score for r in ppm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for (k, _), b in zip(rows, padded, strict=True):
+            want = 0.0
+            for i in range(order, len(b)):
+                gone = set()
+                for o in range(order, -1, -1):
+                    left = {x: n for x, n in seen[o].get(b[i - o : i], {}).items() if x not in gone}
+                    whole = sum(left.values()) + len(left)
+                    if b[i] in left:
+                        want += math.log10(left[b[i]] / whole)
+                        break
+                    want += math.log10(len(left) / whole) if left else 0
+                    gone |= set(left)
+                else:
+                    want -= math.log10(256 - len(gone))
+            assert got[k] == pytest.approx(want, abs=1e-6)
+
+
 def test_quality_counts():
     some = [*texts(5, 40), None, "", " \n ", "a b c a b c", "x\nx\n\nx y\nx y", "# $ é日 <b>"]
     got = quality.statistics(pa.array(some))
