@@ -3,10 +3,11 @@
 The standard library's parser reads a page once. Its events give lines, one for each block element,
 with the characters and tags of each. Ratios of characters to tags are smoothed by a Gaussian and
 split in two clusters; the lines of the upper cluster mark the content, and the innermost element
-that holds nearly all of it is the article. Every line of that element is kept, so short paragraphs
-and headings stay; menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments are known by their elements, roles and class words and never count. Where the content
-has no element of its own, the lines between the first and the last marked one are kept.
+that holds all of it is the article, or the outermost `article` or `main` around it; without those, one
+around it that has headings beside it. Every line of that element is kept, so short paragraphs and
+headings stay; menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+comments are known by their elements, roles and class words and never count. Where the content
+has no element of its own, lines that are links before the first and after the last marked one go too.
 
 Defined results: null or empty pages and pages without text give an empty string; unclosed and
 stray tags are repaired as browsers do for paragraphs and list items; other markup errors only cost
@@ -43,7 +44,9 @@ WORDS = frozenset(
 OWN = frozenset("article content entry main post story".split())
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-SIGMA, SHARE, LINKED = 1.0, 0.75, 0.8
+#: Elements that can be the article.
+HOMES = frozenset(("article", "main", "section", "div", "td", "body", "html", ""))
+SIGMA, LINKED = 1.0, 0.8
 FEED = 1 << 16
 
 
@@ -66,6 +69,12 @@ class Lines(HTMLParser):
     def at(self) -> int:
         return self.open[-1][1] if self.open else 0
 
+    def within(self, element: int) -> Iterator[int]:
+        """The element and all around it, inside out."""
+        while element >= 0:
+            yield element
+            element = self.parent[element]
+
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
@@ -188,16 +197,19 @@ def main_text(html: str | None) -> str:
     if not marked.any():
         return ""
     size = np.array([len(t) for t in page.text])
-    weight: dict[int, int] = {}
-    for i in np.flatnonzero(marked).tolist():
-        e = page.element[i]
-        while e >= 0:
-            weight[e] = weight.get(e, 0) + int(size[i])
-            e = page.parent[e]
-    need = SHARE * int(size[marked].sum())
-    home = max(e for e, w in weight.items() if w >= need)  # elements are numbered outside in
-    while page.name[home] not in ("article", "main", "section", "div", "td", "body", "html", ""):
-        home = page.parent[home]
+    holds: dict[int, list[int]] = {}  # marked lines and headings in each element
+    for i, e in enumerate(page.element):
+        heading = any(page.name[x] in HEADINGS for x in page.within(e)) and linked[i] < LINKED
+        for x in page.within(e):
+            own = holds.setdefault(x, [0, 0])
+            own[0] += bool(marked[i])
+            own[1] += heading
+    home = max(e for e, (n, _) in holds.items() if n == marked.sum())  # elements are numbered outside in
+    around = list(page.within(home))
+    named = [e for e in around if page.name[e] in ("article", "main")]
+    for e in around:
+        if e in named or page.name[home] not in HOMES or (not named and holds[e][1] > holds[home][1]):
+            home = e
     keep = np.zeros(len(size), bool)
     for i, e in enumerate(page.element):
         while e > home:
@@ -205,9 +217,8 @@ def main_text(html: str | None) -> str:
         keep[i] = e == home
     if page.name[home] in ("", "html", "body"):
         first, last = np.flatnonzero(marked)[[0, -1]]
-        while first and page.name[page.element[first - 1]] in HEADINGS:
-            first -= 1
-        keep &= (np.arange(len(size)) >= first) & (np.arange(len(size)) <= last)
+        at = np.arange(len(size))
+        keep &= ((at >= first) & (at <= last)) | (linked < LINKED)  # menus before and after
     lists: dict[int, list[int]] = {}
     for i in np.flatnonzero(keep).tolist():
         e = page.element[i]

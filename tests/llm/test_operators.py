@@ -153,6 +153,19 @@ def test_html():
     assert [html_text.main_text(x) for x in (None, "", "plain", "<p>a<p>b", "<nav>x</nav>")] == ["", "", "plain", "a\nb", ""]
 
 
+def test_html_keeps_the_whole_article():
+    long, part, menu = "long body text " * 40, "second section, shorter " * 8, "<div><a href=/>Home</a></div>"
+    for page, want in (
+        (f"<body>{menu}<article><section><p>{long * 2}</section><section><p>{part}</section></article></body>", [long * 2, part]),
+        (f"<body>{menu}<main><div><section><h2>A</h2><p>{long * 2}</section><section><p>{part}</section></div></main></body>", ["A", long * 2, part]),
+        (f"<body>{menu}<article><h1>T</h1><div><p>{long}</p></div></article></body>", ["T", long]),
+        (f"<body>{menu}<main><p>By A.</p><article><h1>T</h1><div><p>{long}</p></div><p>End.</p></article></main></body>", ["By A.", "T", long, "End."]),
+        (f"<body>{menu}<div><h1>T</h1><div><p>{long}</p></div></div></body>", ["T", long]),
+        (f"<body>{menu}<p>Short.</p><p>Two.</p><p>{long}</p><p>{long}</p><p>x</p><p>y</p><p>The end.</p>{menu}</body>", ["Short.", "Two.", long, long, "x", "y", "The end."]),
+    ):
+        assert html_text.main_text(page).split("\n") == [x.strip() for x in want]
+
+
 def test_html_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
