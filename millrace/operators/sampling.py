@@ -1,7 +1,7 @@
 """Stratified sampling: apportionment, grids with exact margins, seeded draws.
 
-The seeded draw of the reference depends on one generator's order and is small, so it runs on the
-driver over a pool of one row per instance. The hash-ordered draw is its distributed twin: the same
+The seeded draw of the reference depends on one generator's order over the whole pool, so it runs on the
+driver over a pool of one row per instance, held as columns. The hash-ordered draw is its distributed twin: the same
 constraints per stratum, with a keyed hash instead of the generator.
 """
 
@@ -9,7 +9,12 @@ from __future__ import annotations
 
 import math
 import random
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +60,11 @@ def draw(pool: list[dict], wanted: dict[str, dict[str, int]], seed: str) -> list
         by.setdefault(e["instance"], []).append(e)
     order = [rng.choice(by[k]) for k in sorted(by)]
     rng.shuffle(order)
+    return fill(order, wanted, rng)
+
+
+def fill(order: Iterable[dict], wanted: dict[str, dict[str, int]], rng: random.Random) -> list[str]:
+    """The first entries of the order that fill each phase and family under the limits."""
     used: set[int] = set()
     repos: dict[str, int] = {}
     other = round(sum(map(sum, (w.values() for w in wanted.values()))) * OTHER_SHARE)
@@ -117,14 +127,29 @@ def rollout_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("n_chars <= 2000").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("r")).select("doc_id", F.concat(F.lit("doc"), "doc_id", F.lit("#r"), "r").alias("sample_id"))
 
 
+class Order:
+    """The order of a seeded draw over a table of doc_id and source, one instance for each run of equal
+    ids; entries are made when they are looked at."""
+
+    def __init__(self, pool: pa.Table, rng: random.Random):
+        self.id, self.source = (pool.column(c).combine_chunks() for c in ("doc_id", "source"))
+        ids = self.id.to_numpy(zero_copy_only=False)
+        first = array("q", np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)]).tobytes())
+        self.row = array("q", (rng.choice(range(a, z)) for a, z in zip(first, chain(islice(first, 1, None), (len(ids),)), strict=True)))
+        rng.shuffle(self.row)
+
+    def __iter__(self) -> Iterator[dict]:
+        for i in self.row:
+            k = self.id[i].as_py()
+            yield {"id": f"d{k}", "instance": f"i{k}", "family": ("pr", "lm", "mechanical")[k % 3], "repo": self.source[i].as_py(), "language": "python", "turns": 9, "first_edit": k % 6, "chars_at": 100, "chars_pre": 50}
+
+
 @query()
 def seeded_manifest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seeded draw over a pool of one row per instance; the pool is a bounded driver-side list."""
+    """The seeded draw over all eligible documents; the driver holds an id and a source of each."""
     d = table(spark, sf_dir, "documents")
-    pool = d.where((F.col("lang") == "en") & (F.col("n_chars") <= MAX_PREFIX)).groupBy("source").agg(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 8).alias("ids")).select("source", F.explode("ids").alias("doc_id"))
-    rows = [
-        {"id": f"d{r.doc_id}", "instance": f"i{r.doc_id}", "family": ("pr", "lm", "mechanical")[r.doc_id % 3], "repo": r.source, "language": "python", "turns": 9, "first_edit": r.doc_id % 6, "chars_at": 100, "chars_pre": 50}
-        for r in pool.collect()
-    ]
+    pool = d.where((F.col("lang") == "en") & (F.col("n_chars") <= MAX_PREFIX) & F.col("doc_id").isNotNull()).select("doc_id", "source")
+    rng = random.Random("block:1")
+    order = Order(pool.orderBy(F.col("doc_id").cast("string"), "source").toArrow(), rng)
     wanted = grid({"cold": 50, "pre_edit": 30, "at_edit": 20}, {"pr": 40, "lm": 40, "mechanical": 20}, 12)
-    return spark.createDataFrame([(i, s) for i, s in enumerate(draw(rows, wanted, "block:1"))], "place int, sample_id string")
+    return spark.createDataFrame([(i, s) for i, s in enumerate(fill(order, wanted, rng))], "place int, sample_id string")

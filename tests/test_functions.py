@@ -95,3 +95,14 @@ def test_writes(spark):
     assert sorted(map(tuple, dml.upsert(old, new, ["k"], ("v",)).collect())) == [(1, "a", False), (2, "b", False), (3, "d", True)]
     assert sorted(map(tuple, dml.insert_absent(old, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
     assert sorted(map(tuple, dml.replace_rows(old, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_manifest_draws_from_the_whole_pool(spark, sf):
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.lang == "en" and r.n_chars <= 54_000]
+    pool = [
+        {"id": f"d{r.doc_id}", "instance": f"i{r.doc_id}", "family": ("pr", "lm", "mechanical")[r.doc_id % 3], "repo": r.source, "language": "python", "turns": 9, "first_edit": r.doc_id % 6, "chars_at": 100, "chars_pre": 50}
+        for r in docs
+    ]
+    wanted = sampling.grid({"cold": 50, "pre_edit": 30, "at_edit": 20}, {"pr": 40, "lm": 40, "mechanical": 20}, 12)
+    got = [r.sample_id for r in sampling.seeded_manifest_sample(spark, sf).orderBy("place").collect()]
+    assert got == sampling.draw(pool, wanted, "block:1")
