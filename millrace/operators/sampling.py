@@ -121,10 +121,14 @@ def stratified_sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("pos", pos).where(F.col("pos") <= REPO_CAP).withColumn("rk", rk).where("rk <= 16").select("doc_id", "source", "lang", "rk")
 
 
+def rollouts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("r")).select("doc_id", F.concat(F.lit("doc"), "doc_id", F.lit("#r"), "r").alias("sample_id"))
+
+
 @query("SELECT doc_id, 'doc' || doc_id || '#r' || r AS sample_id FROM documents, (SELECT unnest([1, 2]) r) WHERE n_chars <= 2000")
 def rollout_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rollouts of each sample."""
-    return table(spark, sf_dir, "documents").where("n_chars <= 2000").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("r")).select("doc_id", F.concat(F.lit("doc"), "doc_id", F.lit("#r"), "r").alias("sample_id"))
+    """Two rollouts of each sample of at most 2,000 characters, as its SQL says."""
+    return rollouts(table(spark, sf_dir, "documents").where("n_chars <= 2000"))
 
 
 class Order:
@@ -144,6 +148,12 @@ class Order:
             yield {"id": f"d{k}", "instance": f"i{k}", "family": ("pr", "lm", "mechanical")[k % 3], "repo": self.source[i].as_py(), "language": "python", "turns": 9, "first_edit": k % 6, "chars_at": 100, "chars_pre": 50}
 
 
+@query("SELECT doc_id, 'doc' || doc_id || '#r' || r AS sample_id FROM documents, (SELECT unnest([1, 2]) r)")
+def rollout_expansion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rollouts of each sample of any length."""
+    return rollouts(table(spark, sf_dir, "documents"))
+
+
 @query()
 def seeded_manifest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded draw over all eligible documents; the driver holds an id and a source of each."""

@@ -106,3 +106,11 @@ def test_manifest_draws_from_the_whole_pool(spark, sf):
     wanted = sampling.grid({"cold": 50, "pre_edit": 30, "at_edit": 20}, {"pr": 40, "lm": 40, "mechanical": 20}, 12)
     got = [r.sample_id for r in sampling.seeded_manifest_sample(spark, sf).orderBy("place").collect()]
     assert got == sampling.draw(pool, wanted, "block:1")
+
+
+def test_rollouts_of_every_document(spark, sf):
+    from millrace.plans import registry
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert docs.where("n_chars > 2000").count()
+    assert registry.QUERIES["rollout_expansion_whole"](spark, sf).count() == 2 * docs.count()
