@@ -11,7 +11,7 @@ stays positive. Nothing is sampled: the filter loses no region within the budget
 Items are broadcast in blocks of at most `BLOCK_BYTES`, one scan for each block.
 
 Defined results: null and empty texts contain nothing; items of fewer than `MIN_ITEM` bytes after
-normalisation are too short to tell and match nothing; equal items and repeated rows each give rows
+normalisation match nothing, or with `short` exactly and only between word bounds; equal items and repeated rows each give rows
 of their own.
 """
 
@@ -29,6 +29,8 @@ from millrace.llm import kernels as K
 
 Q, MIN_ITEM, BLOCK_BYTES = 8, 24, 16 << 20
 BITS = 22
+#: Bytes of words: letters, digits, the underscore and all beyond ASCII.
+PART = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 
 
 def budget(m: int) -> int:
@@ -60,19 +62,25 @@ def slot(g: np.ndarray) -> np.ndarray:
     return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def bounded(data: np.ndarray, at: int, to: int, first: int, last: int) -> bool:
+    """Whether data[at:to], inside the text data[first:last], doesn't cut a word at either end."""
+    return not (at > first and PART[data[at - 1]] and PART[data[at]]) and not (to < last and PART[data[to - 1]] and PART[data[to]])
+
+
 class Items:
     """Benchmark items with their q-grams, ready for lookup."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], short: bool = False):
         self.ids, self.bytes = [], []
         for i, t in zip(ids, texts, strict=True):
             flat = normalised(np.frombuffer(f"{t or ''} ".encode(), np.uint8))[0].tobytes().strip()
-            if len(flat) >= MIN_ITEM:
+            if len(flat) >= (1 if short else MIN_ITEM):
                 self.ids.append(i)
                 self.bytes.append(flat)
         self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.q = np.array([gram_size(len(b)) for b in self.bytes], np.int64)
-        self.k = np.array([budget(len(b)) for b in self.bytes], np.int64)
+        self.exact = self.size < MIN_ITEM
+        self.q = np.array([min(Q, len(b)) if len(b) < MIN_ITEM else gram_size(len(b)) for b in self.bytes], np.int64)
+        self.k = np.array([0 if len(b) < MIN_ITEM else budget(len(b)) for b in self.bytes], np.int64)
         self.bound = self.size + 1 - (self.k + 1) * self.q
         self.width = 1 << np.ceil(np.log2(self.k + 1)).astype(np.int64)
         self.tables = {}
@@ -160,6 +168,11 @@ def overlaps(items: Items, texts: K.Texts) -> list[tuple[int, int, int, int, int
         if best.get((d, i), (1,))[0] == 0:
             continue
         k, m, w = int(items.k[i]), int(items.size[i]), int(items.width[i])
+        if items.exact[i]:
+            at = b - (1 << 20)
+            if at >= start[d] and at + m <= end[d] and data[at : at + m].tobytes() == items.bytes[i] and bounded(data, at, at + m, int(start[d]), int(end[d])):
+                best[d, i] = (0, at, at + m)
+            continue
         first = b * w - (1 << 20)
         lo, hi = max(int(start[d]), first - k), min(int(end[d]), first + w + 2 * k + m)
         got = banded_alignment(items.bytes[i], data[lo:hi].tobytes(), k)
@@ -168,20 +181,20 @@ def overlaps(items: Items, texts: K.Texts) -> list[tuple[int, int, int, int, int
     return [(d, i, int(came_from[s] - texts.start[d]), int(came_from[e - 1] + 1 - texts.start[d]), dist) for (d, i), (dist, s, e) in sorted(best.items())]
 
 
-def item_blocks(benchmark: DataFrame, item_key: str, item_text: str) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, item_key: str, item_text: str, short: bool = False) -> Iterator[Items]:
     """The benchmark in blocks small enough to broadcast: about BLOCK_BYTES and 500,000 items at most."""
     total = benchmark.agg(F.sum(F.octet_length(item_text)), F.count("*")).first()
     blocks = max(1, math.ceil((total[0] or 0) / BLOCK_BYTES), math.ceil(total[1] / 500_000))
     for block in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(blocks)) == block) if blocks > 1 else benchmark
         rows = own.select(item_key, item_text).collect()
-        yield Items([r[0] for r in rows], [r[1] for r in rows])
+        yield Items([r[0] for r in rows], [r[1] for r in rows], short)
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """(key, item key, start, end, distance): items contained in documents, with the byte range of the best region."""
     kinds, out = f"{key} {dict(docs.dtypes)[key]}, {item_key} {dict(benchmark.dtypes)[item_key]}, start bigint, end bigint, distance int", None
-    for items in item_blocks(benchmark, item_key, item_text):
+    for items in item_blocks(benchmark, item_key, item_text, short):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in K.chunks(batches, text):
@@ -196,9 +209,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """The rows of docs that contain no item, in one scan for each block of items."""
-    for items in item_blocks(benchmark, item_key, item_text):
+    for items in item_blocks(benchmark, item_key, item_text, short):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in K.chunks(batches, text):

@@ -29,7 +29,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.contained_items(_docs(spark, sf_dir).select("doc_id", "text"), benchmark.select("item_id", "text"))
+    return decontamination.contained_items(_docs(spark, sf_dir).select("doc_id", "text"), benchmark.select("item_id", "text"), short=True)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

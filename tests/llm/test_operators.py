@@ -213,6 +213,16 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean.collect()} == {k for k, _ in docs} - {k for k, _ in want} and len(clean.columns) == 5
 
 
+def test_decontamination_of_short_items(spark, tmp_path):
+    from millrace.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, "Forty  two"), (2, "x"), (3, "ab-c"), (4, " "), (5, "is the answer 42 here?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["say forty\nTWO.", "forty twos, forty two", "aforty two", "forty too", "a x", "axa", "(ab-c)", "ab-cd", "x", "is the answer 42 here?", "is the answer 43 here?", "", " forty two "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end], r.distance) for r in QUERIES["op4_benchmark_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1, "forty\nTWO", 0), (1, 1, "forty two", 0), (4, 2, "x", 0), (6, 3, "ab-c", 0), (8, 2, "x", 0), (9, 5, texts[9], 0), (12, 1, "forty two", 0)}
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     part = langid.remainder(docs.doc_id, 5) == 0
