@@ -5,9 +5,11 @@ with the characters and tags of each. Ratios of characters to tags are smoothed
 split in two clusters; the lines of the upper cluster mark the content, and the innermost element
 that holds all of it is the article, or the outermost `article` or `main` around it; without those, one
 around it that has headings beside it. Every line of that element is kept, so short paragraphs and
-headings stay; menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments are known by their elements, roles and class words and never count. Where the content
-has no element of its own, lines that are links before the first and after the last marked one go too.
+headings stay. Menus, footers, sidebars, forms, scripts and styles that are elements of their own, or
+name such a role, never count. Class words only cast doubt on an element: its lines are read all the
+same, and it stays doubtful unless it holds most of the page's running text and something speaks for
+it (see `cleared`). Where the content has no element of its own, lines that are links before the first
+and after the last marked one go too.
 
 Defined results: null or empty pages and pages without text give an empty string; unclosed and
 stray tags are repaired as browsers do for paragraphs and list items; other markup errors only cost
@@ -40,6 +42,11 @@ WORDS = frozenset(
     "newsletter subscribe subscription signup login sidebar sidebars rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar "
     "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond pagination pager copyright legal disclaimer search hidden skip".split()
 )
+#: Those of the words above that name no layout: what they say of an element rarely has another reason.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored banner cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter "
+    "subscribe subscription signup login footer comment comments commentlist disqus reply replies respond copyright legal disclaimer hidden".split()
+)
 #: Class words that name the article itself and outweigh the ones above.
 OWN = frozenset("article content entry main post story".split())
 SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
@@ -56,9 +63,10 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.name = [-1], [""]
-        self.open: list[tuple[str, int, bool]] = []  # name, element, whether it silences its text
+        self.open: list[tuple[str, int, bool, bool]] = []  # name, element, whether it silences its text, whether it names an article
         self.count: dict[str, int] = {}
         self.silent = self.links = self.articles = 0
+        self.doubt: dict[int, tuple[bool, bool]] = {}  # doubtful elements: by a strong word, and whether the words leave another reading
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.text: list[str] = []
@@ -85,17 +93,25 @@ class Lines(HTMLParser):
             self.tags = 0
         self.parts, self.linked = [], 0
 
-    def silences(self, tag: str, attrs: dict[str, str | None]) -> bool:
+    def judged(self, tag: str, attrs: dict[str, str | None]) -> tuple[bool, bool, tuple[bool, bool] | None]:
+        """Whether the element silences its text, whether it names an article, and its doubt if any."""
+        tokens = [{w.lower() for w in SPLIT.split(t) if w} for t in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()]
+        words = set().union(*tokens)
+        own = tag in ("article", "main") or bool(words & OWN - {"main"} and not words & WORDS)
         if tag in SILENT or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
-            return True
+            return True, own, None
         if tag in ("html", "body", "main"):
-            return False
-        if tag == "header" and not self.articles:
-            return True
-        if HIDING.search(attrs.get("style") or ""):
-            return True
-        words = {w.lower() for w in SPLIT.split(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
-        return bool(words & WORDS) and not (words & OWN and tag in ("article", "section"))
+            return False, own, None
+        if (tag == "header" and not self.articles) or HIDING.search(attrs.get("style") or ""):
+            return True, own, None
+        if not words & WORDS or (words & OWN and tag in ("article", "section")):
+            return False, own, None
+        if tag not in BLOCKS:
+            return True, own, None
+        strong = bool(words & STRONG)
+        named = any(t & OWN and not t & WORDS for t in tokens)
+        mixed = bool(words & OWN) or not any(t <= WORDS for t in tokens)
+        return False, False, (strong, named or (mixed and not strong))
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -113,14 +129,16 @@ class Lines(HTMLParser):
                         self.leave(other, "dl")
         if tag in VOID:
             return
-        silent = self.silences(tag, dict(attrs))
+        silent, own, doubt = self.judged(tag, dict(attrs))
         self.parent.append(self.at())
         self.name.append(tag)
-        self.open.append((tag, len(self.parent) - 1, silent))
+        if doubt:
+            self.doubt[len(self.parent) - 1] = doubt
+        self.open.append((tag, len(self.parent) - 1, silent, own))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.silent += silent
         self.links += tag == "a"
-        self.articles += tag in ("article", "main")
+        self.articles += own
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -146,11 +164,11 @@ class Lines(HTMLParser):
                 if name in stop:
                     return
         while self.open:
-            name, _, silent = self.open.pop()
+            name, _, silent, own = self.open.pop()
             self.count[name] -= 1
             self.silent -= silent
             self.links -= name == "a"
-            self.articles -= name in ("article", "main")
+            self.articles -= own
             if name == tag:
                 return
 
@@ -182,12 +200,55 @@ def upper_cluster(x: np.ndarray) -> np.ndarray:
     return x > (lo + hi) / 2
 
 
+def cleared(page: Lines) -> set[int]:
+    """The doubtful elements that are content after all.
+
+    Such an element holds more than half of the running text: of the articles of the page, or of the
+    whole page where it has none. Beside that, class words allow another reading (the name of an article
+    among them, or a layout word in a compound such as `has-sidebar`), or there is a first-rank heading in
+    it, or an article where only layout words cast the doubt.
+    """
+    prose = [len(t) if share < LINKED else 0 for t, share in zip(page.text, page.link_share, strict=True)]
+    chains = [list(page.within(e)) for e in page.element]
+    strong = {e for e, (s, _) in page.doubt.items() if s}
+    inside = [any(page.name[e] in ("article", "main") for e in c) and not any(e in strong for e in c) for c in chains]
+    scope = inside if any(n for n, i in zip(prose, inside, strict=True) if i) else [True] * len(chains)
+    held: dict[int, int] = {}
+    kinds: dict[int, set[str]] = {}
+    for n, chain, counts in zip(prose, chains, scope, strict=True):
+        below: set[str] = set()
+        for e in chain:
+            below.add(page.name[e])
+            if e in page.doubt:
+                held[e] = held.get(e, 0) + n * counts
+                kinds.setdefault(e, set()).update(below)
+    total = sum(n for n, counts in zip(prose, scope, strict=True) if counts)
+    out = set()
+    for e, n in held.items():
+        is_strong, readable = page.doubt[e]
+        speaks = readable or "h1" in kinds[e] or (not is_strong and kinds[e] & {"article", "main"})
+        if 2 * n > total and speaks:
+            out.add(e)
+    return out
+
+
+def without_doubtful(page: Lines) -> None:
+    """Take the lines of doubtful elements out of the page."""
+    noise = page.doubt.keys() - cleared(page) if page.doubt else set()
+    if not noise:
+        return
+    stay = [i for i, e in enumerate(page.element) if not any(x in noise for x in page.within(e))]
+    for name in ("text", "ratio", "link_share", "element"):
+        setattr(page, name, [getattr(page, name)[i] for i in stay])
+
+
 def main_text(html: str | None) -> str:
     page = Lines()
     for at in range(0, len(html or ""), FEED):
         page.feed(html[at : at + FEED])
     page.close()
     page.end_line()
+    without_doubtful(page)
     if not page.text:
         return ""
     ratio, linked = np.array(page.ratio), np.array(page.link_share)
@@ -227,9 +288,10 @@ def main_text(html: str | None) -> str:
                 lists.setdefault(e, []).append(i)
                 break
             e = page.parent[e]
+    first = int(np.flatnonzero(marked)[0])
     for own in lists.values():
-        if len(own) >= 3 and (linked[own] * size[own]).sum() > LINKED * size[own].sum():
-            keep[own] = False  # a menu inside the article
+        if len(own) >= 3 and (linked[own] * size[own]).sum() > LINKED * size[own].sum() and not (named and own[0] > first):
+            keep[own] = False  # a menu; after the text of an article such a list is its references
     return "\n".join(t for t, k in zip(page.text, keep, strict=True) if k)
 
 

@@ -166,6 +166,23 @@ def test_html_keeps_the_whole_article():
         assert html_text.main_text(page).split("\n") == [x.strip() for x in want]
 
 
+def test_html_class_words_only_cast_doubt():
+    six = "".join(f"<p>Paragraph {i} with a fair amount of running text in it, so that it reads like prose.</p>" for i in range(6))
+    lines = re.findall("<p>(.*?)</p>", six)
+    nav, links = "<nav><a href=#>Home</a></nav>", "".join(f"<li><a href=/{i}>Reference number {i}</a>" for i in range(3))
+    for page, want in (
+        *((f"<body>{nav}<div {w}>{six}</div></body>", lines) for w in ('id=content class="no-sidebar"', 'class="wrap has-sidebar"', 'class="entry search-result"', 'class="blog-post promo"', 'class="post comments-open"')),
+        *((f"<body>{nav}<div {w}>{six}</div></body>", [""]) for w in ('class="comments"', 'class="sidebar"', 'class="post-comments"', 'class="ad"')),
+        (f"<body>{nav}<div class=p1>{six * 4}</div><div class=p2>{six}</div></body>", lines * 5),
+        (f"<body>{nav}<article>{six}<ul>{links}</ul></article></body>", [*lines, *(f"Reference number {i}" for i in range(3))]),
+        (f"<body>{nav}<article><ul>{links}</ul>{six}</article></body>", lines),
+        (f"<body><header><h1>Site</h1></header>{nav}<div class=post><header><h1>Title</h1></header><div class=body>{six}</div></div></body>", ["Title", *lines]),
+        (f"<body><article>{six}<section class=comments><article>{six * 3}</article></section></article></body>", lines),
+        (f"<body><div class='has-sidebar'><article><h1>T</h1>{six}</article><div class='sidebar'>{six * 3}</div></div></body>", ["T", *lines]),
+    ):
+        assert html_text.main_text(page).split("\n") == want, page
+
+
 def test_html_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
@@ -405,12 +422,15 @@ def test_sharding(spark, rows):
     assert abs(sum(w for w, k in zip(load, g.shard_of, strict=True) if k == 8) - sum(load) / 9) <= 90
 
 
-@pytest.mark.parametrize("name", ["repeats", "packing", "language", "jaccard", "ppm", "sharding", "quality", "warc"])
+@pytest.mark.parametrize("name", ["html", "decontamination", "decontamination of nothing", "repeats", "packing", "language", "jaccard", "ppm", "sharding", "quality", "warc"])
 def test_empty_tables(spark, name):
     docs = frame(spark, [])
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
+    items, none = spark.createDataFrame([(1, "some words to find")], "item_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     made = {
+        "html": lambda: html_text.extract(pages), "decontamination": lambda: decontamination.contained_items(docs, items),
+        "decontamination of nothing": lambda: decontamination.contained_items(frame(spark, [(1, "some words to find")]), none),
         "repeats": lambda: repeats.summary(docs), "packing": lambda: packing.pack_documents(docs, PATH), "language": lambda: langid.predict(docs, langid.fit(docs.selectExpr("*", "text AS lang"))),
         "jaccard": lambda: jaccard.one_of_each(docs), "ppm": lambda: ppm.scored(docs), "sharding": lambda: sharding.shard(docs, "doc_id", "text", 8), "quality": lambda: quality.judge(docs, quality.fit(docs, labels)), "warc": lambda: warc.round_trip(pages),
     }
