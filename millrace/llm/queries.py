@@ -60,7 +60,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(_docs(spark, sf_dir), "doc_id", "text", 8)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "map_version", "next_shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,12 +1,17 @@
 """Sharding by fixed virtual slots: records hash into thousands of slots, bytes are summed per slot,
-and a versioned slot-to-shard map decides where each slot lives. Rebalancing edits the map and moves
-whole slots; records are never hashed anew.
+and a versioned slot-to-shard map decides where each slot lives. The map is a table in the shared
+folder, one folder per version; rows are dealt by what is read back from it. Rebalancing edits the
+newest version, writes the next one and moves whole slots; records are never hashed anew.
 
 Only DataFrame functions touch the rows. The driver sees one row per slot (at most `n_slots`), never
-one per record, so what it plans with has a fixed bound.
+one per record, so what it plans with has a fixed bound, and so has the map that is broadcast.
+
+The law is `bytes`: shards are nearly equal in size. Records are hashed by their id, so a group of
+equal texts spreads over the shards as other records do and can't outweigh the balance.
 
 Defined results: a null text has 0 text bytes; repeated rows are kept, each with a position of its
-own; a null id hashes like any other value; an empty table gives an empty result.
+own; a null id hashes like any other value; an empty table gives an empty result. Ties: of slots with
+equal loads the one with the smaller number goes first, of shards with equal totals likewise.
 """
 
 from __future__ import annotations
@@ -15,9 +20,11 @@ import heapq
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import fresh_path
+
 N_SLOTS = 4096
 
 
@@ -85,11 +92,31 @@ def slot_loads(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list
     return size, count
 
 
-def shard(docs: DataFrame, key: str, text: str, n_shards: int, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
-    """Rows (key, size, text_crc32, slot_id, shard, slot): slot is the row's place in its shard, gapless from 0.
+def store(spark: SparkSession, where: str, slots: SlotMap) -> None:
+    """Write one version of a map to the folder `where`; a version is never written twice."""
+    every = spark.range(len(slots.shard_of)).select(F.col("id").cast("int").alias("slot_id"), slots.column(slots.shard_of, F.col("id").cast("int")).cast("int").alias("shard"))
+    every.coalesce(1).withColumn("n_shards", F.lit(slots.n_shards)).write.mode("error").parquet(f"{where}/version={slots.version}")
+
+
+def stored(spark: SparkSession, where: str, version: int) -> DataFrame:
+    """(slot_id, shard, n_shards) of a version of the map in the folder `where`."""
+    return spark.read.schema("slot_id int, shard int, n_shards int").parquet(f"{where}/version={version}")
+
+
+def load(spark: SparkSession, where: str, version: int) -> SlotMap:
+    rows = stored(spark, where, version).orderBy("slot_id").collect()  # n_slots rows
+    return SlotMap([r.shard for r in rows], rows[0].n_shards, version)
+
+
+def shard(docs: DataFrame, key: str, text: str, n_shards: int, n_slots: int = N_SLOTS, where: str | None = None, version: int | None = None) -> DataFrame:
+    """Rows (key, size, text_crc32, slot_id, shard, slot, map_version, next_shard): slot is the row's
+    place in its shard, gapless from 0; next_shard is where the map's next version, for one shard more,
+    puts it.
 
-    Shards come out nearly equal in bytes. With `slot_map`, that map is followed instead of a new one.
+    `where` is the folder of the map. With `version`, that version of it is followed; else version 1 is
+    made, nearly equal in bytes. The next version is the edit of the one that is followed.
     """
+    spark = docs.sparkSession
     rows = docs.select(
         F.col(key).alias(key),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1).alias("size"),
@@ -97,13 +124,19 @@ def shard(docs: DataFrame, key: str, text: str, n_shards: int, n_slots: int = N_
         slot_of(F.col(key), n_slots).alias("slot_id"),
     )
     size, count = slot_loads(rows.select("slot_id", "size"), n_slots)
-    slots = slot_map or balanced(size, n_shards)
+    where = where or fresh_path(spark, "slot-map")
+    if version is None:
+        version = 1
+        store(spark, where, balanced(size, n_shards))
+    slots = load(spark, where, version)
+    store(spark, where, slots.grow(size))
     first, seen = [0] * n_slots, [0] * slots.n_shards
     for s, k in enumerate(slots.shard_of):
         first[s], seen[k] = seen[k], seen[k] + count[s]
     place = F.row_number().over(Window.partitionBy("slot_id").orderBy(F.col(key), "text_crc32", "size")) - 1
-    return rows.withColumn("place", place).select(
-        key, "size", "text_crc32", "slot_id",
-        slots.column(slots.shard_of, F.col("slot_id")).cast("int").alias("shard"),
+    owners = stored(spark, where, version).select("slot_id", "shard").join(stored(spark, where, version + 1).select("slot_id", F.col("shard").alias("next_shard")), "slot_id")
+    return rows.withColumn("place", place).join(F.broadcast(owners), "slot_id").select(
+        key, "size", "text_crc32", "slot_id", "shard",
         (slots.column(first, F.col("slot_id")) + F.col("place")).cast("bigint").alias("slot"),
+        F.lit(version).alias("map_version"), "next_shard",
     )

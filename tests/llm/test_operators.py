@@ -413,7 +413,9 @@ def test_sharding(spark, rows):
     for s in range(8):
         own = sorted(r.slot for r in got if r.shard == s)
         assert own == list(range(len(own)))
-    load = [random.Random(1).randint(0, 90) for _ in range(4096)]
+    assert all(r.map_version == 1 and r.next_shard in (r.shard, 8) for r in got)
+    rng = random.Random(1)
+    load = [rng.randint(0, 90) for _ in range(4096)]
     m = sharding.balanced(load, 8)
     sums = [sum(w for w, k in zip(load, m.shard_of, strict=True) if k == s) for s in range(8)]
     assert max(sums) - min(sums) <= 90
@@ -422,6 +424,30 @@ def test_sharding(spark, rows):
     assert abs(sum(w for w, k in zip(load, g.shard_of, strict=True) if k == 8) - sum(load) / 9) <= 90
 
 
+def test_sharding_of_real_rows_and_the_stored_map(spark, sf, tmp_path):
+    docs, where = spark.read.parquet(f"{sf}/documents.parquet"), f"file://{tmp_path}/map"
+    got = sharding.shard(docs, "doc_id", "text", 8, where=where).collect()
+    bytes_, grown = Counter(), Counter()
+    for r in got:
+        bytes_[r.shard] += r["size"]
+        grown[r.next_shard] += r["size"]
+    most = max(r["size"] for r in got)
+    assert len(bytes_) == 8 and max(bytes_.values()) - min(bytes_.values()) <= 2 * most
+    assert 0 < grown[8] <= sum(grown.values()) / 9
+    moved = {r.slot_id for r in got if r.shard != r.next_shard}
+    first, second = sharding.load(spark, where, 1), sharding.load(spark, where, 2)
+    assert (first.n_shards, second.n_shards) == (8, 9) and moved <= {s for s in range(4096) if first.shard_of[s] != second.shard_of[s]}
+    again = sharding.shard(docs, "doc_id", "text", 8, where=where, version=2).collect()
+    assert {r.doc_id: r.shard for r in again} == {r.doc_id: r.next_shard for r in got}
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.store(spark, where, first)
+
+
+def test_sharding_ties():
+    m = sharding.balanced([5, 5, 5, 5], 2)
+    assert m.shard_of == [0, 1, 0, 1]
+
+
 @pytest.mark.parametrize("name", ["html", "decontamination", "decontamination of nothing", "repeats", "packing", "language", "jaccard", "ppm", "sharding", "quality", "warc"])
 def test_empty_tables(spark, name):
     docs = frame(spark, [])
