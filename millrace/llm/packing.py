@@ -2,12 +2,14 @@
 
 Documents become pieces of at most `capacity` tokens (ids plus one end id; only longer documents are
 cut). Pieces are dealt by hash into groups of about `GROUP` pieces, and each group is packed on its
-own, so no task sees more than that. In a group, best-fit decreasing gives the incumbent; if it needs
-more sequences than the bound by total length, bin completion takes the longest piece left, walks the
-undominated fillings of the space beside it, and drops branches whose waste can't beat the incumbent.
+own, so no task sees more than that. In a group, best-fit decreasing gives the first incumbent. Bin
+completion then takes the longest piece left, walks the undominated fillings of the space beside it,
+least waste first, and drops branches whose waste can't match the incumbent, later can't beat it. Choices widen
+from round to round, up to all undominated fillings; a round ends by itself or when its steps are spent.
 
 Defined results: a null or empty text is one piece of the end id alone; repeated rows are packed as
-rows of their own; an empty table gives no rows.
+rows of their own; an empty table gives no rows. Ties: pieces of equal length are taken by id, piece and
+checksum; of fillings with equal waste the one with fewer pieces goes first.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from millrace.llm.shared import written
 from millrace.llm.tokens import WordBpe
 
 CAPACITY, END_ID, GROUP = 4096, 1, 16384
-#: Bounds of one bin's search: fillings kept, lengths tried at each place, steps in all.
-FILLINGS, BREADTH, FILLING_STEPS = 4, 8, 120
+#: Widths of the search, one round for each: fillings kept of a bin and lengths tried at each place
+#: (None: all of them). `EFFORT` is what a round may spend in steps, for each piece.
+WIDTHS: tuple[tuple[int | None, int | None], ...] = ((1, 3), (4, 8), (None, None))
+EFFORT = 60
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -92,18 +96,20 @@ class Stock:
             insort(self.sizes, n)
         self.count[n] += 1
 
-    def fillings(self, room: int) -> list[list[int]]:
-        """Undominated ways to fill `room`, least waste first.
+    def fillings(self, room: int, keep: int | None, breadth: int | None, effort: list[int]) -> tuple[list[list[int]], bool]:
+        """Undominated ways to fill `room`, least waste first, and whether they are all there are.
 
-        A piece that fills what is left dominates several that do. A filling is dominated too if it
-        takes one more piece, or a longer one in place of one of its own.
+        A piece that fills what is left dominates several that do. A filling is dominated too if a
+        longer piece could stand in place of one of its own. At most `keep` are given and `breadth`
+        lengths tried at each place; every step is taken from effort[0], and nothing more is looked for
+        once a filling wastes nothing, when only one is wanted.
         """
         found: list[tuple[int, list[int]]] = []
-        steps = FILLING_STEPS
+        whole = True
 
         def walk(room: int, longest: int, chosen: list[int]) -> None:
-            nonlocal steps
-            steps -= 1
+            nonlocal whole
+            effort[0] -= 1
             stop = bisect_right(self.sizes, min(room, longest))
             if room <= longest and self.count.get(room):
                 found.append((0, [*chosen, room]))
@@ -111,8 +117,11 @@ class Stock:
                 if not self.sizes or self.sizes[0] > room:
                     found.append((room, chosen))
             else:
-                for n in self.sizes[max(0, stop - BREADTH) : stop][::-1]:
-                    if steps <= 0 or len(found) >= 2 * FILLINGS:
+                least = 0 if breadth is None else max(0, stop - breadth)
+                whole = whole and not least
+                for n in self.sizes[least:stop][::-1]:
+                    if found and (effort[0] <= 0 or (keep and len(found) >= 2 * keep) or (keep == 1 and not found[-1][0])):
+                        whole = False
                         break
                     self.take(n)
                     walk(room - n, n, [*chosen, n])
@@ -128,29 +137,52 @@ class Stock:
             return False
 
         best = sorted(found, key=lambda f: (f[0], len(f[1])))
-        return [c for w, c in best if not dominated(w, c)][:FILLINGS] or [c for _, c in best[:1]] or [[]]
-
-
-def bin_completion(lengths: list[int], capacity: int, steps: int | None = None) -> list[list[int]]:
-    """Fewest bins found for the lengths. Best possible if the bound is met or the search comes to its
-    end; it gives up after `steps` bins, three times the number of pieces unless stated."""
-    lengths = sorted(lengths, reverse=True)
-    incumbent = best_fit(lengths, capacity)
-    bound = max(math.ceil(sum(lengths) / capacity), sum(2 * n > capacity for n in lengths))
+        good = [c for w, c in best if not dominated(w, c)] or [c for _, c in best[:1]] or [[]]
+        return good[:keep], whole and (keep is None or len(good) <= keep)
+
+
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Sequences that any packing needs, the most that a threshold k proves.
+
+    Pieces over capacity - k and over half of it need a sequence each. Those of k to half a capacity
+    must go beside the latter kind or into sequences of their own. k = 0 is the bound by total length.
+    """
+    n = np.sort(np.array(lengths, np.int64))
+    total = np.concatenate(([0], np.cumsum(n)))
+    k = np.concatenate(([0], np.unique(n[2 * n <= capacity])))
+    least = np.searchsorted(n, k)
+    half = np.searchsorted(n, capacity // 2, "right")
+    huge = np.maximum(np.searchsorted(n, capacity - k, "right"), half)
+    room = (huge - half) * capacity - (total[huge] - total[half])
+    more = np.maximum(0, -((room - (total[half] - total[least])) // capacity))
+    return int((len(n) - half + more).max())
+
+
+def search(lengths: list[int], capacity: int, most: int, width: tuple[int | None, int | None], effort: int) -> tuple[list[list[int]] | None, bool]:
+    """A packing in at most `most` bins, the best found (None: none), and whether it is proven that
+    there is no better one.
+
+    Depth first: each bin is the longest piece left with one of its fillings, least waste first. A
+    branch ends when the waste so far leaves no way to use fewer bins than the best packing known.
+    """
+    bound = lower_bound(lengths, capacity)
     stock, left, total = Stock(lengths), len(lengths), sum(lengths)
-    tries = 3 * len(lengths) if steps is None else steps
+    purse = [effort]
+    best: list[list[int]] | None = None
     path: list[list[int]] = []
-    waste = 0
+    waste, proven = 0, True
 
     def options() -> list[list[int]]:
+        nonlocal proven
         n = stock.sizes[-1]
         stock.take(n)
-        found = [[n, *f] for f in stock.fillings(capacity - n)]
+        found, whole = stock.fillings(capacity - n, *width, purse)
         stock.put(n)
-        return found[::-1]
+        proven = proven and whole
+        return [[n, *f] for f in found[::-1]]
 
-    stack = [options()] if len(incumbent) > bound else []
-    while stack and tries > 0:
+    stack = [options()] if lengths else []
+    while stack:
         if len(path) == len(stack):  # back from below: undo this level's bin
             for n in path[-1]:
                 stock.put(n)
@@ -159,9 +191,10 @@ def bin_completion(lengths: list[int], capacity: int, steps: int | None = None)
         if not stack[-1]:
             stack.pop()
             continue
-        tries -= 1
+        if purse[0] <= 0 and (best is not None or waste > most * capacity - total):
+            return best, False
         chosen = stack[-1].pop()
-        if waste + capacity - sum(chosen) > (len(incumbent) - 1) * capacity - total:
+        if waste + capacity - sum(chosen) > most * capacity - total:
             stack[-1].clear()  # the others of this level waste as much or more
             continue
         for n in chosen:
@@ -172,11 +205,32 @@ def bin_completion(lengths: list[int], capacity: int, steps: int | None = None)
         if left:
             stack.append(options())
             continue
-        incumbent = [list(b) for b in path]
-        if len(incumbent) <= bound:
-            break
+        best = [list(b) for b in path]
+        most = len(best) - 1
+        if len(best) <= bound:
+            return best, True
         stack.append([])
-    return incumbent
+    return best, proven
+
+
+def bin_completion(lengths: list[int], capacity: int, effort: int | None = None, widths: tuple = WIDTHS) -> tuple[list[list[int]], bool]:
+    """The fewest bins found for the lengths, and whether no packing has fewer.
+
+    Best-fit decreasing is the first incumbent. Bin completion runs over it with ever wider choices,
+    in each round with `effort` steps (EFFORT for each piece unless stated); the first round
+    may match the incumbent, and its bins, which waste least early on, are then the ones kept. The answer
+    is proven if it meets the lower bound or a round with no limit of width came to its end; else the gap is at
+    most the difference to the bound.
+    """
+    lengths = sorted(lengths, reverse=True)
+    incumbent = best_fit(lengths, capacity)
+    bound = lower_bound(lengths, capacity)
+    for turn, width in enumerate(widths):
+        best, proven = search(lengths, capacity, len(incumbent) - (turn > 0), width, EFFORT * len(lengths) if effort is None else effort)
+        incumbent = best or incumbent
+        if proven or len(incumbent) <= bound:
+            return incumbent, True
+    return incumbent, False
 
 
 def pack(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -191,7 +245,8 @@ def pack(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group:
             rows.setdefault(n, []).append(i)
         seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         base = int(pdf["bucket"].iloc[0]) << 32
-        for b, bin_ in enumerate(bin_completion(pdf["length"].tolist(), capacity)):
+        packed, _ = bin_completion(pdf["length"].tolist(), capacity)
+        for b, bin_ in enumerate(packed):
             at = 0
             for n in bin_:
                 i = rows[n].pop()

@@ -124,10 +124,24 @@ def test_bin_completion_is_optimal():
         return best[0]
 
     rng = random.Random(2)
-    for _ in range(150):
-        lengths = sorted((rng.randint(1, 100) for _ in range(rng.randint(1, 10))), reverse=True)
-        got = packing.bin_completion(lengths, 100)
-        assert sorted(x for b in got for x in b) == sorted(lengths) and len(got) == fewest(lengths, 100)
+    for turn in range(240):
+        low, high, most = ((1, 100, 10), (20, 50, 14), (30, 60, 12))[turn % 3]
+        lengths = sorted((rng.randint(low, high) for _ in range(rng.randint(1, most))), reverse=True)
+        got, proven = packing.bin_completion(lengths, 100, 20_000)
+        assert sorted(x for b in got for x in b) == sorted(lengths) and max(map(sum, got)) <= 100
+        assert proven and packing.lower_bound(lengths, 100) <= len(got) == fewest(lengths, 100)
+
+
+def test_bin_completion_beats_best_fit_and_runs_where_best_fit_is_optimal():
+    lengths = [44, 44, 31, 31, 25, 25]  # best fit needs three: 44 44, 31 31 25, 25
+    assert len(packing.best_fit(lengths, 100)) == 3
+    assert packing.bin_completion(lengths, 100) == ([[44, 31, 25], [44, 31, 25]], True)
+    lengths = [60, 50, 40, 30, 20]
+    assert len(packing.best_fit(lengths, 100)) == packing.lower_bound(lengths, 100) == 2
+    best, proven = packing.search(lengths, 100, 2, (1, 3), 1000)
+    assert proven and packing.bin_completion(lengths, 100) == (best, True)
+    assert packing.bin_completion([], 100) == ([], True) and packing.bin_completion([7, 7, 7], 7) == ([[7]] * 3, True)
+    assert packing.bin_completion([33] * 7, 100, 0)[0] == [[33] * 3, [33] * 3, [33]]  # no effort: best fit
 
 
 def test_tokens_equal_the_library():
