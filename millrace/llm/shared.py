@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is configured (tests)."""
+    """The cluster's shared folder; a folder of our own only where none is configured and every task
+    runs on this machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/millrace-shared"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
