@@ -191,7 +191,7 @@ def search(lengths: list[int], capacity: int, most: int, width: tuple[int | None
         if not stack[-1]:
             stack.pop()
             continue
-        if purse[0] <= 0 and (best is not None or waste > most * capacity - total):
+        if purse[0] <= 0:
             return best, False
         chosen = stack[-1].pop()
         if waste + capacity - sum(chosen) > most * capacity - total:
