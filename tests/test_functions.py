@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import linear
 from millrace.functions import text as T
-from millrace.operators import dml, sampling
+from millrace.operators import dml
 from millrace.plans import shell
 
 
@@ -39,20 +39,6 @@ def test_blob_and_letters(spark):
     assert one(spark, T.concise_fault(F.lit("x\nValueError: no\ntail"))) == "ValueError: no"
 
 
-def test_apportion_and_grid():
-    assert sampling.apportion({"a": 1, "b": 1, "c": 1}, 10) == {"a": 4, "b": 3, "c": 3}
-    g = sampling.grid({"x": 50, "y": 50}, {"p": 70, "q": 30}, 20)
-    assert {c: sum(r[c] for r in g.values()) for c in ("p", "q")} == sampling.apportion({"p": 70, "q": 30}, 20)
-
-
-def test_draw_limits():
-    pool = [{"id": str(i), "instance": f"i{i}", "family": "pr", "repo": f"r{i % 3}", "language": "python", "turns": 9, "first_edit": 3, "chars_at": 1, "chars_pre": 1} for i in range(30)]
-    got = sampling.draw(pool, {"cold": {"pr": 6}}, "s")
-    assert got == sampling.draw(pool, {"cold": {"pr": 6}}, "s") and len(set(got)) == 6
-    with pytest.raises(ValueError):
-        sampling.draw(pool, {"cold": {"pr": 7}}, "s")
-
-
 def test_linkage_and_fit():
     assert linear.average_linkage([[1, 0], [1, 0.01], [0, 1]], 0.55) == [0, 0, 1]
     c, r = linear.nonnegative_fit(np.array([1.0, 2.0]), np.array([[1.0, 0.0], [0.0, 1.0]]))
@@ -95,22 +81,3 @@ def test_writes(spark):
     assert sorted(map(tuple, dml.upsert(old, new, ["k"], ("v",)).collect())) == [(1, "a", False), (2, "b", False), (3, "d", True)]
     assert sorted(map(tuple, dml.insert_absent(old, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
     assert sorted(map(tuple, dml.replace_rows(old, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
-
-
-def test_manifest_draws_from_the_whole_pool(spark, sf):
-    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.lang == "en" and r.n_chars <= 54_000]
-    pool = [
-        {"id": f"d{r.doc_id}", "instance": f"i{r.doc_id}", "family": ("pr", "lm", "mechanical")[r.doc_id % 3], "repo": r.source, "language": "python", "turns": 9, "first_edit": r.doc_id % 6, "chars_at": 100, "chars_pre": 50}
-        for r in docs
-    ]
-    wanted = sampling.grid({"cold": 50, "pre_edit": 30, "at_edit": 20}, {"pr": 40, "lm": 40, "mechanical": 20}, 12)
-    got = [r.sample_id for r in sampling.seeded_manifest_sample(spark, sf).orderBy("place").collect()]
-    assert got == sampling.draw(pool, wanted, "block:1")
-
-
-def test_rollouts_of_every_document(spark, sf):
-    from millrace.plans import registry
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert docs.where("n_chars > 2000").count()
-    assert registry.QUERIES["rollout_expansion_whole"](spark, sf).count() == 2 * docs.count()
