@@ -26,6 +26,7 @@ MODULES = (
     "millrace.operators.dml",
     "millrace.operators.transcripts",
     "millrace.operators.lifecycle",
+    "millrace.operators.observations",
 )
 
 
