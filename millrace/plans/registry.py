@@ -27,6 +27,7 @@ MODULES = (
     "millrace.operators.transcripts",
     "millrace.operators.lifecycle",
     "millrace.operators.observations",
+    "millrace.operators.turns",
 )
 
 
