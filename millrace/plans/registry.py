@@ -28,6 +28,7 @@ MODULES = (
     "millrace.operators.lifecycle",
     "millrace.operators.observations",
     "millrace.operators.turns",
+    "millrace.operators.milestones",
 )
 
 
