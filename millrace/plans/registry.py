@@ -29,6 +29,7 @@ MODULES = (
     "millrace.operators.observations",
     "millrace.operators.turns",
     "millrace.operators.milestones",
+    "millrace.operators.records",
 )
 
 
