@@ -41,3 +41,50 @@ def test_rate_limit_equals_batch(spark, sf, tmp_path):
     got = drained(usage.rate_limited(stream), "append", tmp_path, "limits")
     want = QUERIES["rate_limit_60s"](spark, sf)
     assert got.select("event_id", "n").exceptAll(want.select("event_id", "n")).isEmpty() and got.count() == want.count()
+
+
+def test_entries_expire(spark, tmp_path):
+    kinds = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    rows = [(1, "2024-01-01 00:00:00", 1, "put"), (2, "2024-01-01 01:00:00", 2, "put"), (3, "2024-01-01 02:00:00", 2, "take"), (4, "2024-01-02 00:00:00", 3, "put"), (5, "2024-01-03 00:00:00", 4, "take")]
+    for i, r in enumerate(rows):
+        spark.sql(f"SELECT {r[0]}L AS event_id, TIMESTAMP_NTZ'{r[1]}' AS ts, {r[2]}L AS user_id, '{r[3]}' AS event_type, 0D AS value, '' AS props").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = drained(usage.kept_for(stream), "append", tmp_path, "kept")
+    assert sorted(r.user_id for r in got.collect()) == [1, 3]
+
+
+def test_sinks(spark, tmp_path):
+    target = str(tmp_path / "target")
+    write = usage.upsert_sink(target, ["k"], 4)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k int, v string")
+    write(batch(*((i, "a") for i in range(20))), 0)
+    for _ in range(2):
+        write(batch((3, "b"), (30, "b")), 1)
+    got = dict(spark.read.parquet(target).select("k", "v").collect())
+    assert len(got) == 21 and got[3] == got[30] == "b" and got[4] == "a"
+    seen = usage.ingest(str(tmp_path / "ingest"), "k", lambda: batch((9, "z"), (1, "z")), lambda: False)
+    seen(batch((1, "a"), (1, "a"), (2, "a")), 0)
+    usage.ingest(str(tmp_path / "ingest"), "k", lambda: batch((9, "z"), (1, "z")), lambda: True)(batch((2, "b"), (3, "b")), 1)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "ingest")).select("k", "v").collect())) == [(1, "a"), (2, "a"), (3, "b"), (9, "z")]
+
+
+def test_rates_and_memo(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP'2024-01-01 00:00:00', 1L, 2D), (2L, TIMESTAMP'2024-01-01 00:00:10', 1L, 7D), (3L, TIMESTAMP'2024-01-01 00:00:10', 2L, 7D) AS t(event_id, ts, user_id, value)")
+    assert {r.user_id: r.rate for r in usage.live_rate(rows).collect()} == {1: 0.5, 2: None}
+    entries = spark.createDataFrame([("a", 1), ("b", 2), ("a", 9), ("c", 3)], "key string, at int")
+    assert {r.key for r in usage.newest_entries(entries, 2).collect()} == {"b", "c"}
+
+
+def test_follow_restarts_at_the_offset(spark, sf, tmp_path):
+    stream, batch = source(spark, sf, tmp_path)
+    broken = [True, True]
+
+    def sink(rows, epoch):
+        if broken:
+            broken.pop()
+            raise RuntimeError("lost")
+        rows.select("event_id").write.mode("overwrite").parquet(str(tmp_path / "out" / f"e={epoch}"))
+
+    start = lambda: stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "follow")).trigger(availableNow=True).start()
+    assert usage.followed(start) == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
