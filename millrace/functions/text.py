@@ -55,7 +55,7 @@ def shingles(words: Column, k: int = SHINGLE) -> Column:
 #: Fixed patterns of task identifiers.
 SMITH = r"^(.+?)__(.+?)\.[0-9a-f]{7,8}\.(.+)$"
 SWE = r"^(.+?)__(.+)-(\d+)(?:_[a-z]+)?$"
-AACR = r"^(.+?)-pr-(\d+)(?:-[0-9a-f]+)?(?:__\w+)?$"
+AACR = r"^(.+)-pr-(\d+)(?:-[0-9a-f]+)?(?:__\w+)?$"
 PR_URL = r"github\.com/([^/]+/[^/]+)/pull/(\d+)"
 
 
@@ -103,17 +103,7 @@ def quality_reason(c: Column) -> Column:
             .when((F.size(words) >= 8) & (F.size(F.array_distinct(low)) / F.size(words) < 0.3), "vocabulary")
         )
 
-    return F.when(F.trim(c) == "", "empty").otherwise(let(python_words(c), later))
-
-
-def observation_format(c: Column) -> Column:
-    return F.when(c.startswith("<returncode>"), "tagged").when(c.startswith("{"), "json").otherwise("plain")
-
-
-def action_blocks(c: Column) -> Column:
-    """Fenced bash blocks of a turn, white space normalised."""
-    found = F.regexp_extract_all(c, F.lit(r"(?is)```(?:bash|sh)?\s*\n(.*?)```"), F.lit(1))
-    return F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    return F.when(F.coalesce(c, F.lit("")).rlike(r"^\s*\z"), "empty").otherwise(let(python_words(c), later))
 
 
 def blob_sha1(c: Column) -> Column:

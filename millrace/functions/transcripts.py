@@ -236,11 +236,25 @@ def sed(program: str, text: str) -> str | None:
     return "\n".join([*out, *([final] if final is not None else [])])
 
 
+#: Commands whose status is the same whatever the files are.
+STATUS = {"echo": "succeeds", "printf": "succeeds", "true": "succeeds", ":": "succeeds", "false": "fails"}
+
+
 def replayed(files: dict[str, str | None], commands: Iterable[str]) -> dict[str, str | None]:
-    """Files after simple write commands; null stands for a file whose text isn't known any more."""
+    """Files after simple write commands; null stands for a file whose text isn't known any more, or
+    that may be gone: whether a stage behind && or || runs is known only after commands that can't fail."""
     now = dict(files)
     for command in commands:
+        at, status = 0, None
         for one in command_chain(command):
+            begin = max(command.find(one, at), at)
+            glue = command[at:begin].rstrip()[-2:]
+            at = begin + len(one)
+            if (glue == "&&" and status == "fails") or (glue == "||" and status == "succeeds"):
+                continue
+            unsure = glue in ("&&", "||") and status is None
+            before = dict(now)
+            status = None if unsure else STATUS.get(one.split()[0])
             body = heredocs(one)
             head = one.split("\n")[0]
             to = re.search(r"(>>?)\s*([\w./-]+)", head)
@@ -267,6 +281,8 @@ def replayed(files: dict[str, str | None], commands: Iterable[str]) -> dict[str,
                 for a in args[1:]:
                     if now.get(a) is not None:
                         now[a] = sed(args[0], now[a])
+            if unsure:
+                now = {p: now.get(p) if p in now and p in before and now[p] == before[p] else None for p in [*before, *(p for p in now if p not in before)]}
     return now
 
 

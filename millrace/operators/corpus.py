@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.positions import positions
 from millrace.operators.sqltools import sql_query
 from millrace.plans.registry import query
 from millrace.session import table
@@ -24,10 +25,19 @@ SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'excluded_id' WHEN contains(text, 'g
 FROM (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) first_seen FROM documents) d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def keep_or_drop_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block-list, upstream and per-source cap, in this order; null is kept."""
-    seen = F.dense_rank().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").contains("github.com").alias("upstream")).withColumn("first_seen", seen)
-    got = d.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    return got.select("doc_id", F.when(F.col("toxic") == 1, "excluded_id").when(F.col("upstream"), "excluded_upstream").when(F.col("first_seen") > 20, "repo_cap").alias("reason"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").contains("github.com").alias("upstream"))
+    return dropped(docs, table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+
+
+def dropped(docs: DataFrame, blocked: DataFrame, cap: int = 20) -> DataFrame:
+    """(doc_id, reason) of docs (doc_id, source, upstream): block-list, upstream, then all but the first `cap` ids of a source.
+
+    The cap needs one number of each source, its cap-th id; the rank limit behind it cuts every task's rows before the shuffle.
+    """
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    last = docs.select("source", "doc_id").distinct().withColumn("nth", nth).where(F.col("nth") <= cap).groupBy(F.col("source").alias("s")).agg(F.max("doc_id").alias("last"))
+    got = docs.join(blocked.select("doc_id", F.lit(True).alias("blocked")).distinct(), "doc_id", "left").join(last, F.col("source").eqNullSafe(F.col("s")), "left")
+    return got.select("doc_id", F.when(F.col("blocked"), "excluded_id").when(F.col("upstream"), "excluded_upstream").when(F.col("doc_id") > F.col("last"), "repo_cap").alias("reason"))
 
 
 sql_query("row_validity", "conversations", """
@@ -40,10 +50,11 @@ SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'pr' WHEN doc_id % 7 = 1 THEN 'lm'
 
 @query("SELECT doc_id, source, CAST(floor((rn - 1) / 100) AS bigint) AS chunk FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) rn, count(*) OVER (PARTITION BY source) n FROM documents) WHERE floor((rn - 1) / 100) < floor(n / 100)")
 def full_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of exactly 100 rows per source; what doesn't fill one waits."""
-    w = Window.partitionBy("source")
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    d = d.withColumn("chunk", F.floor((F.row_number().over(w.orderBy("doc_id")) - 1) / CHUNK)).withColumn("n", F.count("*").over(w))
+    """SURVEY SK03: chunks of exactly 100 rows per source; what doesn't fill one waits. Places come from counts by
+    range, so no task sorts a whole source."""
+    d = positions(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+    n = d.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
+    d = d.withColumn("chunk", F.floor(F.col("position") / CHUNK)).join(n, F.col("source").eqNullSafe(F.col("s")))
     return d.where(F.col("chunk") < F.floor(F.col("n") / CHUNK)).select("doc_id", "source", "chunk")
 
 
@@ -54,8 +65,8 @@ SELECT source, count(*) AS total_rows, count(DISTINCT sha256(text)) AS instances
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY GROUPING SETS ((source), ())""", doc="Manifest facts per source and over all.")
 
 
-@query()
+@query("SELECT doc_id, 'documents.parquet' AS shard, CAST(file_row_number AS bigint) AS row FROM documents JOIN (SELECT doc_id AS d, row_number() OVER () - 1 AS file_row_number FROM documents) ON d = doc_id")
 def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position of each row in its file, the key that samples are addressed by."""
+    """SURVEY SC02: position of each row in its file, the key that samples are addressed by."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row"))

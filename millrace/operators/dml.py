@@ -37,13 +37,16 @@ def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), by).alias("r")).select("r.*")
 
 
-sql_query("upsert_keep_old", "customer orders", """
-SELECT coalesce(c_custkey, k) AS k, coalesce(c_name, 'new') AS name, coalesce(total, c_acctbal) AS amount, c_custkey IS NULL AS inserted FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c
-FULL OUTER JOIN (SELECT o_custkey AS k, round(max(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) n ON c_custkey = k""", doc="Upsert with kept columns and an inserted flag.")
-
-sql_query("insert_if_absent", "customer orders", """
-SELECT c_custkey AS k, 'old' AS origin FROM customer WHERE c_custkey % 3 = 0
-UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 3 = 0)""")
+_NEW = "SELECT p_partkey AS k, round(max(CASE WHEN p_size > 25 THEN p_retailprice END), 2) AS total FROM part GROUP BY p_partkey"
+sql_query("upsert_keep_old", "customer part", f"""
+SELECT coalesce(c_custkey, k) AS k, coalesce(c_name, 'new') AS name, coalesce(total, c_acctbal) AS amount, c_custkey IS NULL AS inserted FROM customer c FULL OUTER JOIN ({_NEW}) n ON c_custkey = k""", f"""
+SELECT c_custkey AS k, c_name AS name, CASE WHEN total IS NULL THEN c_acctbal ELSE total END AS amount, false AS inserted FROM customer LEFT JOIN ({_NEW}) n ON k = c_custkey
+UNION ALL SELECT k, 'new', total, true FROM ({_NEW}) n WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)""", doc="SURVEY DM02: upsert of part prices into balances, old values kept where a new one is missing, with an inserted flag.")
+
+sql_query("insert_if_absent", "customer part", """
+SELECT c_custkey AS k, 'old' AS origin FROM customer UNION ALL SELECT DISTINCT p_partkey, 'new' FROM part WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = p_partkey)""", """
+SELECT k, min(o) AS origin FROM (SELECT c_custkey AS k, 'old' AS o FROM customer UNION ALL SELECT DISTINCT p_partkey, 'part' FROM part) GROUP BY k HAVING min(o) = 'old'
+UNION ALL SELECT p_partkey, 'new' FROM part LEFT JOIN customer ON c_custkey = p_partkey WHERE c_custkey IS NULL""", doc="SURVEY DM03, DM05: keys of parts inserted where no customer has them.")
 
 sql_query("retry_cap_split", "orders", """
 SELECT o_orderkey, attempts, CASE WHEN attempts >= 12 THEN 'TERMINAL' ELSE 'REQUEUED' END AS state, CASE WHEN wins = 1 THEN 0 ELSE 5 END AS priority FROM (

@@ -17,7 +17,7 @@ _WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
 WITH t AS (SELECT doc_id, text, {_WORDS.format('text')} w, {_WORDS.format('lower(text)')} lw FROM documents),
 d AS (SELECT doc_id, text, len(w) n, len(lw) nl, len(list_distinct(lw)) dl, len(w) - 2 AS tri, len(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], chr(1))))) AS dt,
   length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS high FROM t)
-SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN n < 5 THEN 'short' WHEN tri >= 1 AND dt / tri < 0.15 THEN 'repetitive' WHEN length(text) > 20 AND high / length(text) > 0.6 THEN 'encoding' WHEN nl >= 8 AND dl / nl < 0.3 THEN 'vocabulary' END AS reason FROM d""")
+SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '^[[:space:]]*$') THEN 'empty' WHEN n < 5 THEN 'short' WHEN tri >= 1 AND dt / tri < 0.15 THEN 'repetitive' WHEN length(text) > 20 AND high / length(text) > 0.6 THEN 'encoding' WHEN nl >= 8 AND dl / nl < 0.3 THEN 'vocabulary' END AS reason FROM d""")
 def text_quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.quality_reason(F.col("text")).alias("reason"))
 

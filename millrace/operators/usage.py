@@ -16,9 +16,11 @@ SELECT floor({_SEC} / 14400) * 14400 AS bucket, count(*) AS n FROM events CROSS
 WITH now AS (SELECT max({_SEC_D}) AS t FROM events)
 SELECT CAST(floor({_SEC_D} / 14400) * 14400 AS bigint) AS bucket, count(*) AS n FROM events CROSS JOIN now WHERE floor({_SEC_D} / 14400) < floor(t / 14400) AND {_SEC_D} >= t - 3 * 86400 GROUP BY 1""", doc="Closed windows of the last three days; `now` is one row.")
 
+_KINDS = ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}_" for k in ("click", "view", "purchase", "error", "signup"))
 sql_query("usage_pivot", "events", f"""
-SELECT * FROM (SELECT floor({_SEC} / 86400) AS day, event_type FROM events) PIVOT (count(*) FOR event_type IN ('click' AS click, 'view' AS view_, 'purchase' AS purchase))""", f"""
-SELECT CAST(floor({_SEC_D} / 86400) AS bigint) AS day, nullif(count(*) FILTER (event_type = 'click'), 0) AS click, nullif(count(*) FILTER (event_type = 'view'), 0) AS view_, nullif(count(*) FILTER (event_type = 'purchase'), 0) AS purchase FROM events GROUP BY 1""", doc="Services as columns.")
+SELECT day, {_KINDS}, count(*) AS total FROM (SELECT floor({_SEC} / 86400) AS day, event_type FROM events) x GROUP BY ROLLUP (day)""", f"""
+SELECT day, {_KINDS}, count(*) AS total FROM (SELECT CAST(floor({_SEC_D} / 86400) AS bigint) AS day, event_type FROM events) x GROUP BY day
+UNION ALL SELECT NULL, {_KINDS}, count(*) FROM events""", doc="SURVEY AG15: services as columns, with totals and a grand total row.")
 
 sql_query("usage_by_dimension", "events", f"""
 SELECT event_type, day, count(*) AS n, round(sum(value), 2) AS total, min(event_id) AS first_id, round(avg(value), 4) AS mean, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) AS errors

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,15 +23,54 @@ def l2(a: Column, b: Column) -> Column:
 EVERY, NEIGHBOURS = 50, 10
 
 
-def nearest(queries: DataFrame, bank: DataFrame, k: int, keep: Column) -> DataFrame:
-    """Exact k nearest of a bounded query set: the bank is scanned once in blocks, each block keeps k
-    candidates of each query, and only those are shuffled."""
-    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    pairs = bank.join(F.broadcast(q), keep & (F.col("vec_id") != F.col("q_id")))
-    scored = pairs.select("q_id", "vec_id", l2(F.col("q"), F.col("embedding")).alias("dist"))
-    block = scored.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    top = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("dist", "vec_id"))
-    return block.withColumn("rk", top("q_id", "b")).where(F.col("rk") <= k).withColumn("rank", top("q_id")).where(F.col("rank") <= k).select("q_id", "vec_id", "rank", F.round("dist", 4).alias("dist"))
+#: Queries of one block; a block's vectors are broadcast (4,096 x 1,024 numbers: 32 MB).
+BLOCK = 4096
+
+
+def nearest(queries: DataFrame, bank: DataFrame, k: int, scope: str = "all", exclude: DataFrame | None = None, guard: str | None = None) -> DataFrame:
+    """(q_id, vec_id, rank, dist): the exact k nearest of each query. Both sides: (vec_id, embedding, label).
+
+    Queries come in blocks of at most BLOCK, each against all of the bank: every batch of it keeps the k best of each query, and only
+    those are shuffled. `scope` says whose vectors count (all, own or others, by label), `exclude` (vec_id) which don't; with `guard`, a column
+    of both sides, only vectors from before the query count. A vector isn't its own neighbour. Distances are exact: candidates
+    by matrix products are measured again by differences.
+    """
+    names = ["vec_id", "embedding", "label", *([guard] if guard else [])]
+    bank = bank.select(*names)
+    if exclude is not None:
+        bank = bank.join(exclude.select("vec_id"), "vec_id", "left_anti")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    dealt = queries.select(*names, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("part"))
+    kinds = dict(queries.dtypes)
+    found = []
+    for part in range(blocks):
+        own = dealt.where(F.col("part") == part).toPandas()
+        if own.empty:
+            continue
+        shared = queries.sparkSession.sparkContext.broadcast((own["vec_id"].to_numpy(), np.stack(own["embedding"].to_numpy()).astype(float), own["label"].to_numpy(), own[guard].to_numpy() if guard else None))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, q, labels, before = shared.value
+            for b in batches:
+                x = np.stack(b["embedding"].to_numpy()).astype(float)
+                square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
+                out = ids[:, None] == b["vec_id"].to_numpy()[None, :]
+                if scope != "all":
+                    out |= (labels[:, None] == b["label"].to_numpy()[None, :]) == (scope == "others")
+                if before is not None:
+                    out |= b[guard].to_numpy()[None, :] >= before[:, None]
+                square[out] = np.inf
+                least = np.partition(square, min(k, square.shape[1]) - 1, axis=1)[:, min(k, square.shape[1]) - 1]
+                i, j = np.nonzero((square <= least[:, None] + 1e-6) & ~out)
+                dist = np.sqrt(((q[i] - x[j]) ** 2).sum(1))
+                made = pd.DataFrame({"q_id": ids[i], "vec_id": b["vec_id"].to_numpy()[j], "dist": dist}).sort_values(["q_id", "dist", "vec_id"])
+                yield made[made.groupby("q_id").cumcount() < k]
+
+        found.append(bank.where("embedding IS NOT NULL").mapInPandas(run, f"q_id {kinds['vec_id']}, vec_id {kinds['vec_id']}, dist double"))
+    if not found:
+        return bank.limit(0).select(F.col("vec_id").alias("q_id"), "vec_id", F.lit(0).alias("rank"), F.lit(0.0).alias("dist"))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "vec_id"))
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", "vec_id", "rank", F.round("dist", 4).alias("dist"))
 
 
 _KNN = """
@@ -35,26 +78,26 @@ SELECT q_id, vec_id, rank, dist FROM (SELECT q.vec_id q_id, b.vec_id, round(list
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::double[], b.embedding::double[]), b.vec_id) rank FROM embeddings q JOIN embeddings b ON b.vec_id <> q.vec_id AND {} WHERE q.vec_id % 50 = 0) WHERE rank <= 10"""
 
 
-def _knn(spark: SparkSession, sf_dir: str, keep: Column) -> DataFrame:
+def _knn(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
     bank = table(spark, sf_dir, "embeddings")
-    return nearest(bank.where(F.col("vec_id") % EVERY == 0), bank, NEIGHBOURS, keep)
+    return nearest(bank.where(F.col("vec_id") % EVERY == 0), bank, NEIGHBOURS, scope)
 
 
 @query(_KNN.format("true"))
 def knn_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of every query vector (ids divisible by 50) among all vectors."""
-    return _knn(spark, sf_dir, F.lit(True))
+    return _knn(spark, sf_dir, "all")
 
 
 @query(_KNN.format("b.label <> q.label"))
 def knn_l2_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among vectors of other owners."""
-    return _knn(spark, sf_dir, F.col("label") != F.col("q_label"))
+    return _knn(spark, sf_dir, "others")
 
 
 @query(_KNN.format("b.label = q.label"))
 def knn_l2_own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _knn(spark, sf_dir, F.col("label") == F.col("q_label"))
+    return _knn(spark, sf_dir, "own")
 
 
 @query("""

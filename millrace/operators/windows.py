@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions.positions import positions
 from millrace.operators.sqltools import sql_query
+from millrace.plans.registry import query
+from millrace.session import table
 
 sql_query("regnal_row_number", "orders", """
 SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS reign,
@@ -70,8 +76,12 @@ sql_query("approach_windows", "events", """
 WITH landed AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)
 SELECT user_id, step, coalesce(lag(step) OVER (PARTITION BY user_id ORDER BY step), greatest(step - 5, 0)) AS from_step FROM landed WHERE event_type = 'purchase'""", doc="Steps since the milestone before, four back for the first.")
 
-sql_query("horizon_round_robin", "documents", """
-SELECT doc_id, CASE WHEN (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 2 = 0 THEN 12 ELSE 16 END AS horizon FROM documents""", doc="Alternating horizons within a phase.")
+@query("SELECT doc_id, CASE WHEN (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 2 = 0 THEN 12 ELSE 16 END AS horizon FROM documents")
+def horizon_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SURVEY WN13: alternating horizons within a phase; phases are few and large, so places come from counts by range."""
+    placed = positions(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
+    return placed.select("doc_id", F.when(F.col("position") % 2 == 0, 12).otherwise(16).alias("horizon"))
+
 
 sql_query("renumber_cap_topup", "lineitem", """
 SELECT l_orderkey, l_linenumber, concat('q_', lpad(cast(rn AS string), 2, '0')) AS qid, rn FROM (
@@ -82,8 +92,8 @@ SELECT l_orderkey, l_linenumber, concat('q_', lpad(rn::varchar, 2, '0')) AS qid,
     sum(CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey) AS kept FROM lineitem) WHERE rn <= least(6, greatest(kept, 2))""", doc="Contiguous numbers per group, at most six, at least two topped up from the spare ones.")
 
 sql_query("host_choice_nulls_first", "supplier", """
-SELECT s_nationkey, max_by(s_suppkey, struct(s_acctbal, s_suppkey)) AS host FROM supplier GROUP BY s_nationkey""", """
-SELECT s_nationkey, arg_max(s_suppkey, (s_acctbal, s_suppkey)) AS host FROM supplier GROUP BY s_nationkey""")
+SELECT s_nationkey, max_by(s_suppkey, struct(free IS NULL, free, s_suppkey)) AS host FROM (SELECT *, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS free FROM supplier) x GROUP BY s_nationkey""", """
+SELECT s_nationkey, s_suppkey AS host FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END DESC NULLS FIRST, s_suppkey DESC) AS k FROM supplier) WHERE k = 1""", doc="SURVEY SL04: the host with the most free, unknown counts first as the original's DESC has them; every seventh is unknown here.")
 
 sql_query("ranked_merge_topn", "orders", """
 SELECT * FROM (SELECT o_orderkey, o_orderdate, 'run' AS kind FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 25)

@@ -27,7 +27,7 @@ class Stage:
 
 
 VALUED = {"grep": "meABC", "head": "nc", "tail": "nc", "sort": "k", "find": "", "wc": "", "cat": "", "uniq": "", "sed": ""}
-KNOWN = {"grep": "nclLviwxFErRhHqom", "head": "n", "tail": "n", "sort": "urn", "wc": "lwc", "cat": "n", "uniq": "c", "sed": "n"}
+KNOWN = {"grep": "nclLviwxFErRm", "head": "n", "tail": "n", "sort": "urn", "wc": "lwc", "cat": "n", "uniq": "c", "sed": "n"}
 
 
 def parse(command: str) -> list[Stage]:
@@ -119,6 +119,8 @@ def java_regex(pattern: str, extended: bool, fixed: bool) -> str:
             i += 1
         elif c in "(){}|+?" and not extended:
             out.append("\\" + c)
+        elif not extended and ((c == "^" and out and pattern[i - 2 : i] not in (r"\(", r"\|")) or (c == "$" and i + 1 < len(pattern) and pattern[i + 1 : i + 3] not in (r"\)", r"\|")) or (c == "*" and (not out or out[-1] in ("(", "|", "^")))):
+            out.append("\\" + c)  # away from the ends of a basic expression these are literal
         else:
             out.append(c)
         i += 1
@@ -220,7 +222,9 @@ def read(files: DataFrame, s: Stage) -> DataFrame:
     if s.name == "wc":
         words = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
         each = files.select("path", F.regexp_count("text", F.lit("\n")).alias("l"), words.alias("w"), F.octet_length("text").alias("c"))
-        return each.rollup("path").agg(*(F.sum(k).alias(k) for k in "lwc"))
+        wanted = [k for k in "lwc" if s.flags.get(k)] or list("lwc")
+        sums = [F.sum(k).alias(k) for k in wanted]
+        return (each.rollup("path") if len(set(args)) > 1 else each.groupBy("path")).agg(*sums)
     got = file_lines(files)
     if s.name == "cat":
         return got

@@ -13,18 +13,17 @@ TABLES = (
 
 
 def build_session(cpus: int | str | None = None, **extra: str) -> SparkSession:
-    """A local session with the settings the queries rely on (UTC, AQE)."""
-    n = str(cpus or os.environ.get("BENCH_CPUS", "*"))
-    builder = (
-        SparkSession.builder.master(f"local[{n}]")
-        .appName("millrace")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8" if n == "*" else n)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "6g")
-    )
+    """A session with the settings the queries rely on (UTC, AQE).
+
+    Where a submit command has already started the driver, its master, memory and partitions stand. Else
+    SPARK_MASTER names the master, or the session is a local one of `cpus` threads.
+    """
+    builder = SparkSession.builder.appName("millrace").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        master, n = os.environ.get("SPARK_MASTER"), str(cpus or os.environ.get("BENCH_CPUS", "*"))
+        builder = builder.master(master or f"local[{n}]").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g")
+        if not master:
+            builder = builder.config("spark.sql.shuffle.partitions", "8" if n == "*" else n).config("spark.ui.enabled", "false")
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()

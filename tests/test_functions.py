@@ -74,6 +74,48 @@ def test_shell_pipes_and_declines(spark):
             shell.run_command(files, bad)
 
 
+def test_shell_counts_and_literals(spark):
+    files = spark.createDataFrame([*FILES, ("s.txt", "a^b\n$x\n")], "path string, text string")
+    assert [tuple(r) for r in shell.run_command(files, "wc -l a/y.txt").collect()] == [("a/y.txt", 3)]
+    assert sorted(map(tuple, shell.run_command(files, "wc -lw a/x.py a/y.txt").collect()), key=str) == [("a/x.py", 3, 6), ("a/y.txt", 3, 3), (None, 6, 9)]
+    assert [r.line for r in shell.run_command(files, "grep 'a^b' s.txt").collect()] == ["a^b"]
+    assert [r.line for r in shell.run_command(files, "grep '$x' s.txt").collect()] == ["$x"]
+    for bad in ("grep -o x a", "grep -q x a", "grep -H x a", "find . -name x -o -name y"):
+        with pytest.raises(shell.Declined):
+            shell.run_command(files, bad)
+
+
+def test_positions(spark):
+    from millrace.functions.positions import positions
+
+    rows = spark.sql("SELECT id, CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 = 7 THEN NULL ELSE 'b' END AS k FROM range(5000) UNION ALL SELECT NULL, 'b'")
+    for r in positions(rows, "k", "id", buckets=16).groupBy("k").agg(F.sort_array(F.collect_list("position")).alias("p"), F.sort_array(F.collect_list(F.struct("position", "id"))).alias("o")).collect():
+        assert r.p == list(range(len(r.p)))
+        ids = [x.id for x in r.o if x.id is not None]
+        assert ids == sorted(ids)
+    assert positions(rows.limit(0), "k", "id").count() == 0
+
+
+def test_nearest_scopes(spark):
+    from millrace.operators.vectors import nearest
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(6).tolist(), i % 3, i % 7) for i in range(120)] + [(500, rng.standard_normal(6).tolist(), 0, 0)]
+    rows += [(200 + i, rows[i][1], 1, 1) for i in range(5)]
+    bank = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, block int").repartition(4)
+    queries = bank.where("vec_id % 20 = 0")
+
+    def brute(keep):
+        return sorted((q[0], b[0], k + 1) for q in rows if q[0] % 20 == 0 for k, b in enumerate(sorted((b for b in rows if b[0] != q[0] and keep(q, b)), key=lambda b: (float(np.sqrt(((np.array(q[1]) - b[1]) ** 2).sum())), b[0]))[:4]))
+
+    got = lambda **kw: sorted((r.q_id, r.vec_id, r.rank) for r in nearest(queries, bank, 4, **kw).collect())
+    assert got() == brute(lambda q, b: True)
+    assert got(scope="own") == brute(lambda q, b: q[2] == b[2]) and got(scope="others") == brute(lambda q, b: q[2] != b[2])
+    assert got(guard="block") == brute(lambda q, b: b[3] < q[3])
+    assert got(exclude=spark.createDataFrame([(1,), (2,), (200,)], "vec_id long")) == brute(lambda q, b: b[0] not in (1, 2, 200))
+    assert nearest(queries.limit(0), bank, 4).isEmpty()
+
+
 def test_writes(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")

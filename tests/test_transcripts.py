@@ -44,6 +44,8 @@ def test_sed():
 def test_replay_and_status():
     got = X.replayed({"a": "1\n", "d/x": "2"}, ["echo hi > b && mv a c", "rm -r d; touch e", "cat <<EOF >> b\nmore\nEOF", "sed -i 's/1/9/' c", "make > f"])
     assert got == {"b": "hi\nmore\n", "c": "9\n", "e": "", "f": None}
+    unsure = X.replayed({"a": "1", "b": "2"}, ["test -f zz && rm a", "false && echo hi > q", "true || rm b", "make || echo no > r"])
+    assert unsure == {"a": None, "b": "2", "r": None}
     assert X.tree_status({"a": "1", "b": "1"}, {"a": "2", "b": "1"}, {"a": "2", "b": "3", "n": "0"}) == {"a": "M ", "b": " M", "n": "??"}
     assert X.ignored("build/x.o", ["*.o"]) and not X.ignored("keep.o", ["*.o", "!keep.o"])
 
