@@ -30,6 +30,7 @@ MODULES = (
     "millrace.operators.turns",
     "millrace.operators.milestones",
     "millrace.operators.records",
+    "millrace.operators.weights",
 )
 
 

@@ -48,6 +48,27 @@ def test_linkage_and_fit():
     assert linear.spectrum(noise + 50 * np.outer(np.ones(40), np.ones(40)))["structured"] > 0.9 > linear.spectrum(noise)["structured"]
 
 
+def test_weights(spark):
+    from millrace.operators import weights
+
+    assert abs(linear.gavish_donoho(1.0) - 2.858) < 2e-3 and abs(linear.gavish_donoho(0.5) - 2.4) < 0.05
+    rng = np.random.default_rng(0)
+    w = rng.standard_normal((6, 5))
+    order = [3, 0, 5, 1, 2, 4]
+    place, cos, same = linear.one_to_one(w[order], w)
+    assert [order[p] for p in place] == list(range(6)) and cos > 0.999 and same < 0.5
+    assert sorted(linear.one_to_one(np.eye(3), np.ones((3, 3)))[0]) == [0, 1, 2]  # ties never share a row
+    kinds = "model string, tensor string, rows array<array<double>>"
+    rows = [("a", "t", w.tolist()), ("b", "t", w.tolist()), ("b", "u", (2 * w).tolist()), ("c", "t", (w + 1).tolist())]
+    got = {r.model: r for r in weights.fingerprints(spark.createDataFrame(rows, kinds), k=4, width=8).collect()}
+    assert got["a"].sketches["t"] == got["b"].sketches["t"] != got["c"].sketches["t"] and len(got["a"].vector) == 8
+    assert np.allclose(got["b"].norm, np.sqrt(5) * np.linalg.norm(w)) and sorted(got["b"].samples) == ["t", "u"]
+    pairs = spark.createDataFrame([("a", "t", w[order].tolist(), w.tolist())], kinds + ", ref_rows array<array<double>>")
+    assert [order[p] for p in weights.aligned(pairs).first().place] == list(range(6))
+    flags = spark.sql("SELECT * FROM VALUES (1.0D, 0.95D, 0.1D), (0.5D, 0.95D, 0.99D), (0.5D, 0.6D, 0.7D), (0.5D, 0.7D, 0.6D) AS t(r, m, k)")
+    assert [r[0] for r in flags.select(weights.expert_choice(F.col("r"), F.col("m"), F.col("k"))).collect()] == [False, True, False, True]
+
+
 FILES = [("a/x.py", "import os\ndef f():\n  return 1\n"), ("a/y.txt", "foo\nbar\nfoo\n"), ("b/z.py", "return\n")]
 
 
