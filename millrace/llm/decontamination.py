@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from millrace.llm import kernels as K
 
 Q, MIN_ITEM, BLOCK_BYTES = 8, 24, 16 << 20
 BITS = 22
+#: Added to diagonals so that none is negative; items are shorter.
+SHIFT = 1 << 30
 #: Bytes of words: letters, digits, the underscore and all beyond ASCII.
 PART = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 
@@ -121,10 +124,10 @@ def banded_alignment(item: bytes, region: bytes, k: int) -> tuple[int, int, int]
     width = max(1, n - m + 2 * k + 1)  # diagonals -k .. n - m + k
     text = np.full(n + m + 4 * k + 8, 0xFF, np.uint8)
     text[k : k + n] = np.frombuffer(region, np.uint8)
-    step, far = np.arange(width), np.int64(1 << 40)
-    # Cost and start together: the smaller cost wins, then the later start.
+    step, far = np.arange(width), np.int64(1 << 62)
+    # Cost and start together: the smaller cost wins, then the later start, which is below the unit.
     cost = np.where((step >= k) & (step <= n + k), -(step - k), far).astype(np.int64)
-    unit = np.int64(1 << 20)
+    unit = np.int64(1 << 32)
     for j, c in enumerate(item):
         same = text[j : j + width] == c
         new = cost + np.where(same, 0, unit)
@@ -150,30 +153,33 @@ def overlaps(items: Items, texts: K.Texts) -> list[tuple[int, int, int, int, int
     doc = np.searchsorted(start, at, "right") - 1
     inside = at + items.q[item] <= end[doc]
     at, item, place, doc = at[inside], item[inside], place[inside], doc[inside]
-    diagonal = at - place + (1 << 20)
+    diagonal = at - place + SHIFT
     width, k = items.width[item], items.k[item]
     band = diagonal // width
     low = diagonal % width < k  # also within reach of the band before
     doc, item, band, place = (np.append(x, y) for x, y in ((doc, doc[low]), (item, item[low]), (band, band[low] - 1), (place, place[low])))
     if not len(doc):
         return []
-    group = doc << 44 | item << 24 | band & 0xFFFFFF
-    order = np.lexsort((place, group))
-    group, place = group[order], place[order]
-    fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (place[1:] != place[:-1])))
-    found, count = np.unique(group[fresh], return_counts=True)  # places of the item that are met in the band
+    pair = doc << 20 | item
+    order = np.lexsort((place, band, pair))
+    pair, band, place = pair[order], band[order], place[order]
+    new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])))
+    fresh = new | np.concatenate(([True], place[1:] != place[:-1]))
+    first_of = np.flatnonzero(new)
+    count = np.bincount((np.cumsum(new) - 1)[fresh], minlength=len(first_of))  # places of the item that are met in the band
+    first_of = first_of[count >= items.bound[pair[first_of] & 0xFFFFF]]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for code in found[count >= items.bound[(found >> 24) & 0xFFFFF]].tolist():
-        d, i, b = code >> 44, (code >> 24) & 0xFFFFF, code & 0xFFFFFF
+    for code, b in zip(pair[first_of].tolist(), band[first_of].tolist(), strict=True):
+        d, i = code >> 20, code & 0xFFFFF
         if best.get((d, i), (1,))[0] == 0:
             continue
         k, m, w = int(items.k[i]), int(items.size[i]), int(items.width[i])
         if items.exact[i]:
-            at = b - (1 << 20)
+            at = b - SHIFT
             if at >= start[d] and at + m <= end[d] and data[at : at + m].tobytes() == items.bytes[i] and bounded(data, at, at + m, int(start[d]), int(end[d])):
                 best[d, i] = (0, at, at + m)
             continue
-        first = b * w - (1 << 20)
+        first = b * w - SHIFT
         lo, hi = max(int(start[d]), first - k), min(int(end[d]), first + w + 2 * k + m)
         got = banded_alignment(items.bytes[i], data[lo:hi].tobytes(), k)
         if got and got < best.get((d, i), (1 << 30, 0, 0)):
@@ -194,9 +200,11 @@ def item_blocks(benchmark: DataFrame, item_key: str, item_text: str, short: bool
 def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """(key, item key, start, end, distance): items contained in documents, with the byte range of the best region."""
     kinds, out = f"{key} {dict(docs.dtypes)[key]}, {item_key} {dict(benchmark.dtypes)[item_key]}, start bigint, end bigint, distance int", None
-    for items in item_blocks(benchmark, item_key, item_text, short):
+    for block in item_blocks(benchmark, item_key, item_text, short):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             for b in K.chunks(batches, text):
                 found = overlaps(items, K.Texts(b.column(1)))
                 yield pa.RecordBatch.from_arrays([
@@ -211,9 +219,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", short: bool = False) -> DataFrame:
     """The rows of docs that contain no item, in one scan for each block of items."""
-    for items in item_blocks(benchmark, item_key, item_text, short):
+    for block in item_blocks(benchmark, item_key, item_text, short):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             for b in K.chunks(batches, text):
                 clean = np.ones(b.num_rows, bool)
                 clean[[f[0] for f in overlaps(items, K.Texts(b.column(b.schema.get_field_index(text))))]] = False
