@@ -16,12 +16,16 @@ of the `MAX_CONTEXTS` pairs met most often are broadcast, all others are looked
 Beside it stands a word-unigram base. Counts of the `MAX_WORDS` most frequent words are broadcast,
 all other words are looked up by a join, so every count is exact.
 
+Texts of more than twice CHUNK are read in parts of about CHUNK bytes, cut behind white space; each part sees the bytes
+before it, so the sums are those of the whole text, and memory doesn't grow with the longest one but for its longest word.
+
 Defined results: null texts are empty: one end token; repeated rows get equal scores; with no training
 document the base is that of unseen tokens and every byte is equally likely.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -44,6 +48,7 @@ WINDOW = 4_000_000
 #: Bytes of text taken at once: the arrays made of them are some hundred times as large.
 CHUNK = 1 << 19
 END = 0xFF
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class HashTable:
@@ -79,9 +84,35 @@ class HashTable:
         return out
 
 
-def symbols(texts: K.Texts, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array, bytes | None, bool]]:
+    """(rows, texts, before, last) of about CHUNK bytes: whole texts (before: None, last), or one part of a long one,
+    cut behind white space so that no word is divided, with the bytes before it and whether it is the last."""
+    for b in K.chunks(batches, text, CHUNK):
+        column = b.column(b.schema.get_field_index(text))
+        whole = column[0].as_py() if b.num_rows == 1 else None
+        if whole is None or len(whole) <= 2 * CHUNK:
+            yield b, column, None, True
+            continue
+        raw = whole.encode()
+        at = 0
+        while at < len(raw):
+            cut = min(at + CHUNK, len(raw))
+            space = WHITE.search(raw, cut)
+            cut = space.end() if space and cut < len(raw) else len(raw)
+            yield b, pa.array([raw[at:cut]], pa.large_binary()).cast(pa.large_string()), raw[max(0, at - 16) : at], cut == len(raw)
+            at = cut
+
+
+def symbols(texts: K.Texts, order: int, before: bytes | None = None, last: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes of all documents with `order` END bytes before each and one after; the
-    positions to predict, and how many each document has."""
+    positions to predict, and how many each document has. For a part of a document, `before` stands in place
+    of the bytes before it, and only the last part has an end."""
+    if before is not None:
+        head = (bytes([END]) * order + before)[len(before) :] if order else b""
+        out = np.concatenate((np.frombuffer(head, np.uint8), texts.data[: texts.length[0]], np.full(1, END, np.uint8)))
+        at = np.arange(order, len(out) - (not last))
+        out[:-1] = np.where(out[:-1] == END, END, K.LOWER[out[:-1]])
+        return out, at, np.array([len(at)])
     out = np.full(len(texts.data) + texts.n * order, END, np.uint8)
     shift = order * (np.arange(texts.n) + 1)
     inside = np.ones(len(texts.data), bool)
@@ -209,14 +240,14 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
             keys, n = held[kind].pop()
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), min(kind, 1), np.int32)), pa.array(keys.view(np.int64)), pa.array(n if kind < 2 else np.zeros_like(n)), pa.array(n)], ["kind", "key", "n", "met"])
 
-        for b in K.chunks(batches, "text", CHUNK):
-            texts = K.Texts(b.column(0))
+        for b, column, before, last in parts(batches, "text"):
+            texts = K.Texts(column)
             own = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             words = K.Words(texts)
             if len(words.start):
                 hashes = K.word_hashes(K.LOWER[texts.data], words)[np.repeat(own, words.count)]
                 yield from put(0, hashes)
-            data, at, size = symbols(texts, order)
+            data, at, size = symbols(texts, order, before, last)
             keys, own = contexts(data, at, order), np.repeat(own, size)
             yield from put(1, keys[own])
             yield from put(2, keys[~own])
@@ -305,10 +336,11 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
             (pairs, chance), (keys, n) = shared.value
             _loaded[name] = (HashTable(pairs), chance, HashTable(keys), n.astype(float))
         pairs, chance, table, n = _loaded[name]
-        for b in K.chunks(batches, "text", CHUNK):
-            texts = K.Texts(b.column(1))
+        held: list[tuple] = []  # parts so far of a long text
+        for b, column, before, last in parts(batches, "text"):
+            texts = K.Texts(column)
             words = K.Words(texts)
-            data, at, size = symbols(texts, order)
+            data, at, size = symbols(texts, order, before, last)
             asked = contexts(data, at, order)
             row = pairs.find(asked)
             there = row >= 0
@@ -326,11 +358,20 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
             sums = [np.concatenate(([0], np.cumsum(x))) for x in (value, known)]
             got, seen = (s[words.last] - s[words.first] for s in sums)
             rare = [hashes[a:z][~known[a:z]] for a, z in zip(words.first.tolist(), words.last.tolist(), strict=True)]
-            flat = np.concatenate(rare) if rare else np.zeros(0, np.uint64)
+            flat, unseen = np.concatenate(rare) if rare else np.zeros(0, np.uint64), asked[~there]
+            count, ends = words.count, np.cumsum([0] + [len(r) for r in rare])
+            if before is not None:
+                held.append((count, seen, got, score, flat, unseen))
+                if not last:
+                    continue
+                count, seen, got, score = (sum(x) for x in list(zip(*held, strict=True))[:4])
+                flat, unseen = (np.concatenate(x) for x in list(zip(*held, strict=True))[4:])
+                ends, far = np.array([0, len(flat)]), np.array([0, len(unseen)])
+                held = []
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(words.count.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(got), pa.array(score),
-                pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rare]), pa.int32()), pa.array(flat.view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(far, pa.int32()), pa.array(asked[~there].view(np.int64))),
+                b.column(0), pa.array(count.astype(np.int64)), pa.array(seen.astype(np.int64)), pa.array(got), pa.array(score),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(far, pa.int32()), pa.array(unseen.view(np.int64))),
             ], ["h", "words", "seen", "got", "score", "rare", "pairs"])
 
     made = written(base.select("h", "text").mapInArrow(run, "h bigint, words bigint, seen bigint, got double, score double, rare array<bigint>, pairs array<bigint>"), "scores")

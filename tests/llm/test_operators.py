@@ -325,6 +325,36 @@ def test_warc_rejects_damage():
         warc.parse(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <u>\r\nContent-Length: 9\r\n\r\nhello\r\n\r\n")
 
 
+def test_ppm_reads_long_texts_in_parts(spark, rows, monkeypatch):
+    long = [(i, " ".join(t for _, t in rows if t)[i * 9 :] + "é" * 700 + " end") for i in range(20, 34)]
+    want = sorted(map(tuple, ppm.scored(frame(spark, long)).collect()))
+    monkeypatch.setattr(ppm, "CHUNK", 500)
+    monkeypatch.setattr(ppm, "MAX_CONTEXTS", 200)
+    monkeypatch.setattr(ppm, "MAX_WORDS", 20)
+    got = sorted(map(tuple, ppm.scored(frame(spark, long)).collect()))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+
+
+def test_ppm_bounds_memory_by_parts():
+    raw = "ab cd éf " * 2_500_000  # 25 MB
+    batch = pa.RecordBatch.from_pydict({"h": [1], "text": [raw]})
+    made = list(ppm.parts(iter([batch]), "text"))
+    assert sum(len(c[0].as_py().encode()) for _, c, _, _ in made) == len(raw.encode()) and [last for *_, last in made] == [False] * (len(made) - 1) + [True]
+    assert max(len(c[0].as_py().encode()) for _, c, _, _ in made) <= ppm.CHUNK + 8
+    data, at, _ = ppm.symbols(K.Texts(made[1][1]), 5, made[1][2], False)
+    whole = b"\xff" * 5 + raw[: 2 * ppm.CHUNK].encode()
+    first = len(made[0][1][0].as_py().encode())
+    assert data[at[0] - 5 : at[0] + 1].tobytes() == whole[first : first + 6]
+
+
+def test_overlaps_in_a_very_long_text():
+    item = "the quick brown fox jumps over the lazy dog and runs away"
+    text = "zz y" * 5_200_000 + " " + item.replace("lazy", "lzy") + " " + "q" * 100  # beyond 16 MB
+    found = decontamination.overlaps(decontamination.Items([7], [item], True), K.Texts(pa.array([text, item])))
+    assert [(d, i, k) for d, i, _, _, k in found] == [(0, 0, 1), (1, 0, 0)] and text[found[0][2] : found[0][3]].startswith("the quick")
+
+
 @pytest.mark.parametrize("order", [2, 5])
 def test_ppm(spark, rows, monkeypatch, order):
     monkeypatch.setattr(ppm, "MAX_WORDS", 20)
