@@ -5,9 +5,9 @@ least 4/5 share at least t = ceil(4n/5) of the n shingles of each, so in any ord
 sets, their first common shingle is among the first n - t + 1 of both and the second among the first
 n - t + 2. The order puts rare shingles before frequent ones. A rare shingle in the prefix is indexed
 alone. Where the first common shingle is frequent, so are all, and the prefix extended by one holds
-two of them: frequent shingles are indexed as combinations of two. Sets of `LONG` shingles or more
-would have too many combinations and index frequent shingles alone; sets that may match either kind
-are indexed both ways.
+two of them: frequent shingles are indexed as combinations of two. A set of n frequent shingles has some
+n * n / 50 combinations, 8 million for 20,000 words, so sets of `LONG` shingles or more index frequent shingles
+alone; sets that may match either kind are indexed both ways, and the links are the same.
 
 Which shingles are frequent only decides speed; any table gives the same result. It is counted over
 all documents and holds at most `MAX_FREQUENT` shingles, so it can be broadcast.
@@ -39,7 +39,9 @@ WORDS = 5
 #: A shingle counted this often is frequent; the count only sees shingles met LOCAL times in a window.
 FREQUENT, LOCAL, WINDOW = 64, 4, 4_000_000
 MAX_FREQUENT = 500_000
-LONG = 200
+LONG = 1000
+#: Parts that the rows of one component are dealt to when they get its smallest key.
+SALTS = 32
 #: Classes of a set's sketch.
 BUCKETS = 512
 
@@ -315,7 +317,8 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     discard(entries)
     named = sets.join(labels.select(F.col("v").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("key").alias("component_id"))
-    return named.join(least, "label", "left").select(
+    least = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))  # one row of a component for each part
+    return named.withColumn("salt", F.pmod(F.xxhash64("key", "set_id"), F.lit(SALTS)).cast("int")).join(least, ["label", "salt"], "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )
 
