@@ -43,10 +43,10 @@ MAX_CONTEXTS = 1_000_000
 MAX_WORDS = 300_000
 #: Last bytes of a context by which contexts are brought together, and pairs of which a trie is made at once.
 SUFFIX = 2
-PAIRS = 500_000
-WINDOW = 4_000_000
+PAIRS = 250_000
+WINDOW = 2_000_000
 #: Bytes of text taken at once: the arrays made of them are some hundred times as large.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 END = 0xFF
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
