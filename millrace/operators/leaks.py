@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -16,9 +15,14 @@ BROADCAST = 2_000_000
 
 
 def hashed_shingles(rows: DataFrame, key: str, k: int = 8) -> DataFrame:
-    """(key, s): a 64-bit hash of every run of k words, repeated runs too. Runs are made in the JVM in one pass over the words."""
-    words = rows.select(key, T.tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    return NGram(n=k, inputCol="words", outputCol="runs").transform(words).select(key, F.explode("runs").alias("run")).select(key, F.xxhash64("run").alias("s"))
+    """(key, s): a 64-bit hash of every run of k words, repeated runs too. Words are hashed once, runs over the hashes, so no run is ever a string."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+
+    def runs(h: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
+        return F.when(F.size(h) >= k, each).otherwise(F.array().cast("array<bigint>"))
+
+    return rows.select(key, F.explode(T.let(F.transform(words, lambda w: F.xxhash64(w)), runs)).alias("s"))
 
 
 def containment(docs: DataFrame, items: DataFrame, group: str = "item_id") -> DataFrame:
