@@ -111,10 +111,19 @@ def blob_sha1(c: Column) -> Column:
     return F.sha1(F.concat(F.lit("blob ").cast("binary"), F.octet_length(c).cast("string").cast("binary"), F.lit("\u0000").cast("binary"), c.cast("binary")))
 
 
+#: What five verdict letters are worth; the letters between them lie on straight lines.
+LETTER_ANCHORS = {"A": 0.0, "E": 0.15, "J": 0.35, "O": 0.70, "T": 1.0}
+
+
 def letter_value(c: Column) -> Column:
-    """Verdict letters A..T on a linear scale: A is 0, T is 1."""
-    at = F.instr(F.lit("ABCDEFGHIJKLMNOPQRST"), F.upper(F.trim(c)))
-    return F.when((F.length(F.trim(c)) == 1) & (at > 0), (at - 1) / F.lit(19.0))
+    """What a verdict letter A..T is worth, to six places; null for anything else."""
+    letter = F.upper(F.trim(c))
+    at, value, ends = F.ascii(letter), None, list(LETTER_ANCHORS.items())
+    for (a, low), (b, high) in zip(ends, ends[1:], strict=False):
+        here = F.round(F.lit(low) + (at - ord(a)) * F.lit((high - low) / (ord(b) - ord(a))), 6)
+        reached = (F.length(letter) == 1) & at.between(ord(a), ord(b))
+        value = F.when(reached, here) if value is None else value.when(reached, here)
+    return value
 
 
 def concise_fault(c: Column) -> Column:

@@ -93,32 +93,6 @@ def without_reasoning(text: str) -> str:
     return outside_fences(text, lambda t: re.sub(r"<think>.*?(?:</think>|\Z)", "", t, flags=re.S).replace("</think>", "")).strip()
 
 
-def find_json(text: str, key: str | None = None):
-    """A JSON value in free text: fenced ones first, then wherever one begins. The last object with
-    `key` wins, else the first value."""
-    found, decoder = [], json.JSONDecoder()
-    for body in [*re.findall(r"```(?:json)?\s*\n(.*?)```", text, re.S), text]:
-        at = 0
-        while m := re.compile(r"[{\[]").search(body, at):
-            try:
-                value, at = decoder.raw_decode(body, m.start())
-                found.append(value)
-            except ValueError:
-                at = m.end()
-    keyed = [v for v in found if key and isinstance(v, dict) and key in v]
-    return keyed[-1] if keyed else (found[0] if found else None)
-
-
-def answers(text: str) -> dict[str, str | None]:
-    """Verdict letter by question of a judge's reply; null where it isn't a letter A..T."""
-    reply = find_json(text, "answers") or {}
-    out = {}
-    for item in reply.get("answers", []) if isinstance(reply, dict) else []:
-        letter = str(item.get("verdict") or item.get("answer") or "").strip().upper()
-        out[str(item.get("asked") or item.get("id") or "")] = letter if len(letter) == 1 and "A" <= letter <= "T" else None
-    return out
-
-
 def canonical_hash(value) -> str:
     """Hash of a JSON value with sorted keys and no spaces."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

@@ -31,6 +31,7 @@ MODULES = (
     "millrace.operators.milestones",
     "millrace.operators.records",
     "millrace.operators.weights",
+    "millrace.operators.replies",
 )
 
 

@@ -35,7 +35,9 @@ def test_shingles_and_quality(spark):
 def test_blob_and_letters(spark):
     assert one(spark, T.blob_sha1(F.lit("hello\n"))) == "ce013625030ba8dba906f756967f9e9ca394464a"
     assert one(spark, T.letter_value(F.lit("t"))) == 1.0
-    assert one(spark, T.letter_value(F.lit("z"))) is None
+    assert one(spark, T.letter_value(F.lit("z"))) is None and one(spark, T.letter_value(F.lit("AB"))) is None
+    worth = {"A": 0.0, "C": 0.075, "E": 0.15, " f": 0.19, "J": 0.35, "k": 0.42, "O": 0.7, "S": 0.94}
+    assert {k: one(spark, T.letter_value(F.lit(k))) for k in worth} == worth
     assert one(spark, T.concise_fault(F.lit("x\nValueError: no\ntail"))) == "ValueError: no"
 
 

@@ -12,9 +12,6 @@ def test_chains():
 
 def test_replies():
     assert X.without_reasoning("<think>a</think>b ```<think>c</think>```") == "b ```<think>c</think>```"
-    assert X.find_json('x {"a": 1} y {"k": 2} {"k": 3}', "k") == {"k": 3}
-    assert X.find_json("none") is None
-    assert X.answers('```json\n{"answers": [{"asked": "q1", "verdict": "t"}, {"id": "q2", "answer": "Z"}]}\n```') == {"q1": "T", "q2": None}
     assert X.canonical_hash({"b": 1, "a": 2}) == X.canonical_hash({"a": 2, "b": 1})
 
 
