@@ -97,17 +97,54 @@ def matched_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def one_to_one(a: np.ndarray, b: np.ndarray) -> tuple[list[int], float, float]:
-    """For each row of b the row of a that it matches by cosine, no row of a twice where b has no more rows; the mean of the best cosines, and the share of rows in place.
+def assigned(cosine: np.ndarray) -> tuple[list[int], float, float]:
+    """For each row of a table of cosines the column that it gets, no column twice while some are free; the mean of
+    the rows' best cosines, and the share of rows that get the column of their own number.
 
-    Rows of b choose in the order of their best cosine; one whose choice is taken gets the best row left.
+    Rows choose in the order of their best cosine; one whose choice is taken gets the best column left.
     """
+    best, first = cosine.max(1), cosine.argmax(1)
+    if len(np.unique(first)) == len(first):
+        place = first
+    else:
+        place, left = np.zeros(len(cosine), np.int64), np.ones(cosine.shape[1], bool)
+        for j in np.argsort(-best, kind="stable"):
+            place[j] = first[j] if left[first[j]] or not left.any() else np.argmax(np.where(left, cosine[j], -2.0))
+            left[place[j]] = False
+    return place.tolist(), float(best.mean()), float((place == np.arange(len(cosine))).mean())
+
+
+def one_to_one(a: np.ndarray, b: np.ndarray) -> tuple[list[int], float, float]:
+    """`assigned` for the rows of b and the rows of a, by cosine."""
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    cosine = unit(b) @ unit(a).T
-    best = cosine.max(1)
-    left = np.ones(len(a), bool)
-    place = np.zeros(len(b), np.int64)
-    for j in np.argsort(-best, kind="stable"):
-        place[j] = np.argmax(np.where(left, cosine[j], -2.0)) if left.any() else np.argmax(cosine[j])
-        left[place[j]] = False
-    return place.tolist(), float(best.mean()), float((place == np.arange(len(b))).mean())
+    return assigned(unit(b) @ unit(a).T)
+
+
+def nonnegative_gram(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """Non-negative x that makes x'Gx/2 - r'x least: an active set, freed where the gradient says so and left
+    where a step would turn negative."""
+    n = len(rhs)
+    x, free = np.zeros(n), np.zeros(n, bool)
+    scale = max(1e-300, float(np.abs(rhs).max(initial=0)))
+    for _ in range(30 * n):
+        slope = rhs - gram @ x
+        slope[free] = -np.inf
+        j = int(slope.argmax()) if n else 0
+        if not n or slope[j] <= 1e-12 * scale:
+            break
+        free[j] = True
+        while True:
+            y = np.zeros(n)
+            y[free] = np.linalg.lstsq(gram[np.ix_(free, free)], rhs[free], rcond=None)[0]
+            if (y[free] > 0).all():
+                break
+            down = free & (y <= 0)
+            step = (x[down] / np.maximum(x[down] - y[down], 1e-300)).min(initial=1.0)
+            x = x + step * (y - x)
+            free &= x > 1e-14 * max(1.0, float(np.abs(x).max()))
+            x[~free] = 0
+            if not free.any():
+                y = x
+                break
+        x = y
+    return x

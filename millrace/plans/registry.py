@@ -32,6 +32,7 @@ MODULES = (
     "millrace.operators.records",
     "millrace.operators.weights",
     "millrace.operators.replies",
+    "millrace.operators.signals",
 )
 
 

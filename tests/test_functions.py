@@ -67,7 +67,7 @@ def test_weights(spark):
     assert np.allclose(got["b"].norm, np.sqrt(5) * np.linalg.norm(w)) and sorted(got["b"].samples) == ["t", "u"]
     pairs = spark.createDataFrame([("a", "t", w[order].tolist(), w.tolist())], kinds + ", ref_rows array<array<double>>")
     assert [order[p] for p in weights.aligned(pairs).first().place] == list(range(6))
-    flags = spark.sql("SELECT * FROM VALUES (1.0D, 0.95D, 0.1D), (0.5D, 0.95D, 0.99D), (0.5D, 0.6D, 0.7D), (0.5D, 0.7D, 0.6D) AS t(r, m, k)")
+    flags = spark.sql("SELECT * FROM VALUES (0.5D, 0.95D, 0.1D), (0.4D, 0.95D, 0.99D), (0.4D, 0.3D, 0.4D), (0.4D, 0.3D, 0.2D) AS t(r, m, k)")
     assert [r[0] for r in flags.select(weights.expert_choice(F.col("r"), F.col("m"), F.col("k"))).collect()] == [False, True, False, True]
 
 
