@@ -282,39 +282,6 @@ def ignored(path: str, rules: list[str]) -> bool:
     return out
 
 
-def rendered_call(name: str, arguments: str | dict) -> str:
-    """A tool call as the text an agent would write; arguments that aren't JSON count as none."""
-    if isinstance(arguments, str):
-        try:
-            arguments = json.loads(arguments)
-        except ValueError:
-            arguments = {}
-    if not isinstance(arguments, dict):
-        arguments = {}
-    if "command" in arguments and name in ("bash", "shell", "execute_bash"):
-        return f"```bash\n{arguments['command']}\n```"
-    listed = "\n".join(f"{k}: {v}" for k, v in sorted(arguments.items()))
-    return f"{name}\n{listed}".strip()
-
-
-def rendered_turns(messages: list[dict]) -> list[dict]:
-    """Messages with tool calls as plain turns: one turn a call, results in order behind their calls."""
-    out, waiting = [], []
-    for m in messages:
-        calls = m.get("tool_calls") or []
-        if m["role"] == "assistant" and calls:
-            for k, c in enumerate(calls):
-                text = rendered_call(c["function"]["name"], c["function"]["arguments"])
-                out.append({"role": "assistant", "content": f"{m.get('content') or ''}\n{text}".strip() if k == 0 else text})
-                waiting.append(len(out))
-                out.append({"role": "user", "content": ""})
-        elif m["role"] == "tool" and waiting:
-            out[waiting.pop(0)]["content"] = m.get("content") or ""
-        else:
-            out.append({"role": m["role"], "content": m.get("content") or ""})
-    return [t for t in out if t["content"]]
-
-
 def trailing_repeats(commands: list[str]) -> int:
     """How many of the last commands are equal."""
     n = 0

@@ -33,6 +33,7 @@ MODULES = (
     "millrace.operators.weights",
     "millrace.operators.replies",
     "millrace.operators.signals",
+    "millrace.operators.toolcalls",
 )
 
 

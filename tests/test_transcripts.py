@@ -45,10 +45,3 @@ def test_replay_and_status():
     assert unsure == {"a": None, "b": "2", "r": None}
     assert X.tree_status({"a": "1", "b": "1"}, {"a": "2", "b": "1"}, {"a": "2", "b": "3", "n": "0"}) == {"a": "M ", "b": " M", "n": "??"}
     assert X.ignored("build/x.o", ["*.o"]) and not X.ignored("keep.o", ["*.o", "!keep.o"])
-
-
-def test_turns():
-    call = {"function": {"name": "bash", "arguments": '{"command": "ls"}'}}
-    got = X.rendered_turns([{"role": "user", "content": "go"}, {"role": "assistant", "content": "ok", "tool_calls": [call, call]}, {"role": "tool", "content": "f1"}, {"role": "tool", "content": "f2"}])
-    assert [t["content"] for t in got] == ["go", "ok\n```bash\nls\n```", "f1", "```bash\nls\n```", "f2"]
-    assert X.rendered_call("x", "not json") == "x"
