@@ -34,6 +34,7 @@ MODULES = (
     "millrace.operators.replies",
     "millrace.operators.signals",
     "millrace.operators.toolcalls",
+    "millrace.operators.claims",
 )
 
 
