@@ -160,11 +160,17 @@ def tensor_shards(index: DataFrame, headers: DataFrame) -> DataFrame:
     return index.select("model", "tensor", "shard").unionByName(headers.join(indexed, "model", "left_anti").select("model", "tensor", "shard"))
 
 
+#: Fixed value: a digest that pins a commitment.
+PINNED = r"(?:sha256:)?[0-9a-f]{64}|[0-9a-f]{40}"
+
+
 def commitments(blocks: DataFrame, members: DataFrame, start: int, prefix: str) -> DataFrame:
-    """(block, member, repo, digest): commitments from block `start` on whose payload `prefix:repo@digest` fits, of known members. blocks: (block, key, payload); members: (key, member)."""
-    own = blocks.where((F.col("block") >= start) & F.col("payload").startswith(prefix + ":"))
-    part = lambda i: F.regexp_extract("payload", rf"^{prefix}:([^@]+)@([0-9a-f]+)\z", i)
-    return own.withColumns({"repo": part(1), "digest": part(2)}).where("digest <> ''").join(members, "key").select("block", "member", "repo", "digest")
+    """(block, member, repo, digest): commitments from block `start` on with a payload of three parts `prefix|repo|digest` (SURVEY
+    SC25), the repo with an owner and the digest one that pins it, of known members. blocks: (block, key, payload); members: (key, member)."""
+    parts = F.split("payload", r"\|")
+    own = blocks.where((F.col("block") >= start) & (F.size(parts) == 3) & (parts[0] == prefix))
+    fits = F.col("repo").contains("/") & F.col("digest").rlike(rf"^(?:{PINNED})\z")
+    return own.withColumns({"repo": parts[1], "digest": parts[2]}).where(fits).join(members, "key").select("block", "member", "repo", "digest")
 
 
 def extracted_rows(prompts: DataFrame, scores: DataFrame) -> DataFrame:
@@ -328,12 +334,16 @@ def tensor_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS block, c_name AS member, 'own/' || o_custkey AS repo, lower(to_hex(o_orderkey)) AS digest FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey >= 1000 AND o_orderstatus <> 'P'""")
+SELECT o_orderkey AS block, c_name AS member, repo, digest FROM (
+    SELECT *, CASE WHEN o_orderpriority = '2-HIGH' THEN 'alone' ELSE 'own/' || o_custkey END AS repo, CASE substring(o_orderpriority, 1, 1)
+        WHEN '1' THEN sha1(o_orderkey::varchar) WHEN '3' THEN sha256(o_orderkey::varchar) WHEN '4' THEN 'sha256:' || sha256(o_orderkey::varchar) ELSE substring(sha1(o_orderkey::varchar), 1, 39) END AS digest FROM orders)
+JOIN customer ON o_custkey = c_custkey WHERE o_orderkey >= 1000 AND o_orderstatus <> 'P' AND length(digest) >= 40 AND repo LIKE '%/%'""")
 def commitment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SURVEY SC25: commitments from a block on, with a fitting payload, of known members."""
-    o = table(spark, sf_dir, "orders")
-    payload = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("v7:own/"), F.col("o_custkey").cast("string"), F.lit("@"), F.lower(F.hex("o_orderkey")))).otherwise("v6:old")
-    blocks = o.select(F.col("o_orderkey").alias("block"), F.col("o_custkey").alias("key"), payload.alias("payload"))
+    blocks = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS block", "o_custkey AS key", """concat_ws('|', IF(o_orderstatus = 'P', 'v6', 'v7'), IF(o_orderpriority = '2-HIGH', 'alone', concat('own/', o_custkey)),
+            CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN sha1(string(o_orderkey)) WHEN '3' THEN sha2(string(o_orderkey), 256)
+            WHEN '4' THEN concat('sha256:', sha2(string(o_orderkey), 256)) ELSE left(sha1(string(o_orderkey)), 39) END) AS payload""")
     return commitments(blocks, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("member")), 1000, "v7")
 
 
