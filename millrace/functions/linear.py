@@ -9,21 +9,62 @@ import numpy as np
 
 def average_linkage(vectors: list, cut: float) -> list[int]:
     """Cluster number of each vector: the pair of clusters with the highest mean cosine joins while it
-    reaches the cut; of equal pairs the later one goes first."""
+    reaches the cut; of equal pairs the later one goes first.
+
+    Two clusters reach the cut only if some pair of their members does, so each component of the pairs that
+    reach it is clustered alone. Sums of cosines between clusters add up when two join, and each cluster
+    keeps its best later partner, so a join costs a pass over its component.
+    """
     x = np.asarray(vectors, float)
+    if not len(x):
+        return []
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     cosine = (x / np.where(norm == 0, 1, norm)) @ (x / np.where(norm == 0, 1, norm)).T
-    groups = [[i] for i in range(len(x))]
-    while len(groups) > 1:
-        best = max(((float(cosine[np.ix_(a, b)].mean()), i, j) for (i, a), (j, b) in combinations(enumerate(groups), 2)))
-        if best[0] < cut:
+    label = np.arange(len(x))
+    near = cosine >= cut - 1e-9
+    while True:
+        least = np.where(near, label[None, :], len(x)).min(1)
+        least = np.minimum(least, label)
+        if (least == label).all():
             break
-        groups[best[1]] += groups.pop(best[2])
-    out = [0] * len(x)
-    for k, g in enumerate(sorted(groups, key=min)):
-        for i in g:
-            out[i] = k
-    return out
+        label = least
+    out = np.arange(len(x))
+    for c in np.unique(label):
+        members = np.flatnonzero(label == c)
+        if len(members) > 1:
+            out[members] = members[_joined(cosine[np.ix_(members, members)], cut)]
+    return np.unique(out, return_inverse=True)[1].tolist()
+
+
+def _joined(sums: np.ndarray, cut: float) -> np.ndarray:
+    """The first member of each one's cluster, for the cosines of one component."""
+    n = len(sums)
+    sums, size, head, live = sums.copy(), np.ones(n), np.arange(n), np.ones(n, bool)
+
+    def best(i: int) -> tuple[float, int]:
+        later = np.flatnonzero(live[i + 1 :]) + i + 1
+        if not len(later):
+            return -np.inf, -1
+        mean = sums[i, later] / (size[i] * size[later])
+        k = len(mean) - 1 - int(np.argmax(mean[::-1]))
+        return float(mean[k]), int(later[k])
+
+    partner = [best(i) for i in range(n)]
+    while True:
+        value, i, j = max((v, i, j) for i, (v, j) in enumerate(partner))
+        if value < cut or j < 0:
+            return head
+        sums[i] += sums[j]
+        sums[:, i] += sums[:, j]
+        size[i] += size[j]
+        live[j] = False
+        head[head == j] = i
+        partner[j] = (-np.inf, -1)
+        for k in np.flatnonzero(live[: j + 1]):
+            if k == i or partner[k][1] in (i, j):
+                partner[k] = best(k)
+            elif k < i and (m := sums[k, i] / (size[k] * size[i])) >= partner[k][0] and (m, i) > partner[k]:
+                partner[k] = (float(m), int(i))
 
 
 def sketch(w: np.ndarray, k: int = 64, samples: int = 2048, seed: int = 0) -> dict[str, np.ndarray | float]:

@@ -35,6 +35,7 @@ MODULES = (
     "millrace.operators.signals",
     "millrace.operators.toolcalls",
     "millrace.operators.claims",
+    "millrace.operators.imports",
 )
 
 
