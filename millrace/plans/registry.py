@@ -36,6 +36,7 @@ MODULES = (
     "millrace.operators.toolcalls",
     "millrace.operators.claims",
     "millrace.operators.imports",
+    "millrace.operators.evidence",
 )
 
 
