@@ -113,6 +113,7 @@ def shard(docs: DataFrame, key: str, text: str, n_shards: int, n_slots: int = N_
     place in its shard, gapless from 0; next_shard is where the map's next version, for one shard more,
     puts it.
 
+    The slot is a hash of key and text, so rows of one repeated key, or of none, spread by their texts.
     `where` is the folder of the map. With `version`, that version of it is followed; else version 1 is
     made, nearly equal in bytes. The next version is the edit of the one that is followed.
     """
@@ -121,7 +122,7 @@ def shard(docs: DataFrame, key: str, text: str, n_shards: int, n_slots: int = N_
         F.col(key).alias(key),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        slot_of(F.col(key), n_slots).alias("slot_id"),
+        slot_of(F.struct(F.col(key), F.col(text)), n_slots).alias("slot_id"),
     )
     size, count = slot_loads(rows.select("slot_id", "size"), n_slots)
     where = where or fresh_path(spark, "slot-map")
