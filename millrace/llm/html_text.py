@@ -5,10 +5,10 @@ with the characters and tags of each. Ratios of characters to tags are smoothed
 split in two clusters; the lines of the upper cluster mark the content, and the innermost element
 that holds all of it is the article, or the outermost `article` or `main` around it; without those, one
 around it that has headings beside it. Every line of that element is kept, so short paragraphs and
-headings stay. Menus, footers, sidebars, forms, scripts and styles that are elements of their own, or
-name such a role, never count. Class words only cast doubt on an element: its lines are read all the
-same, and it stays doubtful unless it holds most of the page's running text and something speaks for
-it (see `cleared`). Where the content has no element of its own, lines that are links before the first
+headings stay. Footers, sidebars, scripts and styles that are elements of their own, or name such a
+role, never count. Forms, menus and class words only cast doubt on a block: its lines are read all
+the same, and it stays doubtful unless it holds most of the page's running text and something speaks for
+it (see `cleared`). Class words of inline elements say nothing. Where the content has no element of its own, lines that are links before the first
 and after the last marked one go too.
 
 Defined results: null or empty pages and pages without text give an empty string; unclosed and
@@ -31,7 +31,9 @@ from millrace.llm import kernels as K
 #: Fixed values of HTML: elements that begin a line, that have no end tag, and that aren't page text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video map select textarea button datalist nav aside footer form dialog menu".split())
+SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video map select textarea button datalist aside footer dialog menu".split())
+#: Silent as a rule, but some pages lie in one as a whole, by design or for want of an end tag: doubtful, like class words.
+MEASURED = frozenset(("form", "nav"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr"}
 CELLS = frozenset("td th br".split())
@@ -104,10 +106,10 @@ class Lines(HTMLParser):
             return False, own, None
         if (tag == "header" and not self.articles) or HIDING.search(attrs.get("style") or ""):
             return True, own, None
-        if not words & WORDS or (words & OWN and tag in ("article", "section")):
+        if tag in MEASURED:
+            return False, False, (False, tag == "form")
+        if not words & WORDS or (words & OWN and tag in ("article", "section")) or tag not in BLOCKS | CELLS:
             return False, own, None
-        if tag not in BLOCKS:
-            return True, own, None
         strong = bool(words & STRONG)
         named = any(t & OWN and not t & WORDS for t in tokens)
         mixed = bool(words & OWN) or not any(t <= WORDS for t in tokens)

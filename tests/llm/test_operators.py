@@ -197,6 +197,27 @@ def test_html_class_words_only_cast_doubt():
         assert html_text.main_text(page).split("\n") == want, page
 
 
+def test_html_forms_and_menus_are_measured():
+    body = "".join(f"<p>Sentence number {i} of the article, long enough to count as text of a page.</p>" for i in range(6))
+    want = "\n".join(f"Sentence number {i} of the article, long enough to count as text of a page." for i in range(6))
+    login = '<form action="/in"><label>Name of the user</label><input name="u"><p>Forgot the password?</p></form>'
+    menu = "<nav><ul>" + "".join(f'<li><a href="/{i}">Menu {i}</a></li>' for i in range(5)) + "</ul></nav>"
+    for page in (
+        f'<body><form id="aspnetForm">{menu}<div>{body}</div><footer>c</footer></form>', f"<body><form><article>{body}</article></form>", f"<body>{login}{menu}<article>{body}</article>",
+        f"<body>{menu[:-6]}<article>{body}</article><footer>end</footer>", f"<body>{menu[:-6]}<main>{body}{login}</main>", f"<body>{menu}<div>{body}</div>{login}",
+    ):
+        assert html_text.main_text(page) == want, page
+
+
+def test_html_class_words_of_inline_elements_say_nothing():
+    tail = "<p>And here some more words follow, so that this is a page of text.</p>"
+    page = f"<article><p>It was a <b class='alert'>very serious</b> flood in <span class='hidden-gem'>the best</span> town, says <a class='related-link' href='/o'>the older report</a> of it.</p>{tail}</article>"
+    assert html_text.main_text(page).split("\n")[0] == "It was a very serious flood in the best town, says the older report of it."
+    assert "gone" not in html_text.main_text(f"<article><p>Here <span hidden>gone</span> it <b style='display:none'>gone</b> is, a text that is kept as it stands.</p>{tail}</article>")
+    cells = f"<table><tr><td class='sidebar'><p>Side words of the page</p></td><td><p>The text of the page stands in the other cell of the table.</p>{tail}</td></tr></table>"
+    assert "Side words" not in html_text.main_text(cells) and "other cell" in html_text.main_text(cells)
+
+
 def test_html_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
@@ -487,6 +508,15 @@ def test_sharding_of_real_rows_and_the_stored_map(spark, sf, tmp_path):
         sharding.store(spark, where, first)
 
 
+def test_sharding_spreads_a_repeated_or_missing_key(spark):
+    rows = [(7 if i % 2 else None if i % 4 else i, f"text {i} " + "x" * (i % 50)) for i in range(8000)]
+    got = sharding.shard(frame(spark, rows), "doc_id", "text", 8).collect()
+    total = [sum(r["size"] for r in got if r.shard == k) for k in range(8)]
+    assert len(got) == 8000 and max(total) < 1.01 * min(total)
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
 def test_sharding_ties():
     m = sharding.balanced([5, 5, 5, 5], 2)
     assert m.shard_of == [0, 1, 0, 1]
