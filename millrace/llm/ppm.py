@@ -9,8 +9,8 @@ never uses, ends a text and stands before its beginning. The score is the log10
 text and its end.
 
 The trie is never held as a whole. All contexts that end in the same `SUFFIX` bytes, longer ones
-included, lie in one task, which needs nothing else but the counts of shorter contexts (at most 65,536
-entries, broadcast). There every (context, symbol) pair of any document gets its probability once; those
+included, lie in one task, which needs nothing else but the counts of shorter contexts (at most one
+for each three bytes that follow each other in UTF-8, fewer than 256 ** 3; broadcast, and made a trie once a task). There every (context, symbol) pair of any document gets its probability once; those
 of the `MAX_CONTEXTS` pairs met most often are broadcast, all others are looked up by a join.
 
 Beside it stands a word-unigram base. Counts of the `MAX_WORDS` most frequent words are broadcast,
@@ -42,8 +42,8 @@ ORDER = 5
 MAX_CONTEXTS = 1_000_000
 MAX_WORDS = 300_000
 #: Last bytes of a context by which contexts are brought together, and pairs of which a trie is made at once.
-SUFFIX = 2
-PAIRS = 250_000
+SUFFIX = 3
+PAIRS = 125_000
 WINDOW = 2_000_000
 #: Bytes of text taken at once: the arrays made of them are some hundred times as large.
 CHUNK = 1 << 18
@@ -141,12 +141,16 @@ def contexts(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
 
 
 class Trie:
-    """Static trie of (context, symbol) counts for orders 0..order; levels[k] holds keys and counts."""
+    """Static trie of (context, symbol) counts for orders 0..order; levels[k] holds keys and counts. With
+    `below`, a trie of lower orders, levels are those that follow, and its own are not made again."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.order = len(levels) - 1
-        self.entry, self.gain, self.single, self.node, self.top, self.into, self.escape = ([] for _ in range(7))
-        before = None
+    PARTS = ("entry", "gain", "single", "node", "top", "into", "escape")
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], below: Trie | None = None):
+        for name in self.PARTS:
+            setattr(self, name, list(getattr(below, name)) if below else [])
+        self.order = len(self.entry) + len(levels) - 1
+        before = below.last if below else None
         for keys, counts in levels:
             order = np.argsort(keys)
             keys, counts = keys[order], counts[order].astype(float)
@@ -173,7 +177,8 @@ class Trie:
                 self.into.append(np.zeros(len(first)))
                 self.escape.append(np.zeros(len(first)))
             before = (self.entry[-1], counts, total, size, self.node[-1])
-        self.rest = -np.log10(256.0 - (len(levels[0][0]) if len(levels[0][0]) < 256 else 255))
+        self.last = before
+        self.rest = below.rest if below else -np.log10(256.0 - (len(levels[0][0]) if len(levels[0][0]) < 256 else 255))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the symbol in each key after the context in it."""
@@ -282,14 +287,15 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
     shared = counts.sparkSession.sparkContext.broadcast(_short(counts, length))
     cut = np.uint64((1 << (8 * length)) - 1)
 
-    def valued(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def valued(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], short: Trie | None) -> pa.RecordBatch:
         keys, n, met = (np.concatenate(x) for x in zip(*rows, strict=True))
         seen = n > 0
         own = [summed(keys[seen] & np.uint64((1 << (8 * (k + 1))) - 1), n[seen]) for k in range(length, order + 1)]
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(met), pa.array(Trie([*shared.value, *own]).log10(keys))], ["key", "met", "value"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(met), pa.array(Trie(own, short).log10(keys))], ["key", "met", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0  # sorted by suffix, of which none is divided
+        short = Trie(shared.value) if shared.value else None
         for b in batches:
             keys, n, met = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
             if not len(keys):
@@ -298,13 +304,13 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
             if rows >= PAIRS:
                 stop = int(np.searchsorted(suffix, (held[-1][0][-1] >> np.uint64(8)) & cut, side="right"))
                 if stop < len(keys):
-                    yield valued([*held, (keys[:stop], n[:stop], met[:stop])])
+                    yield valued([*held, (keys[:stop], n[:stop], met[:stop])], short)
                     held, rows = [], 0
                     keys, n, met = keys[stop:], n[stop:], met[stop:]
             held.append((keys, n, met))
             rows += len(keys)
         if held:
-            yield valued(held)
+            yield valued(held, short)
 
     suffix = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(int(cut)).cast("bigint"))
     own = counts.where("kind = 1").select("key", "n", "met", suffix.alias("suffix")).repartition("suffix").sortWithinPartitions("suffix")
