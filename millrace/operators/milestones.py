@@ -222,7 +222,7 @@ m AS (SELECT pair, avg(vote) FILTER (nth <= 2) AS f, avg(vote) AS e FROM v GROUP
 SELECT pair, round(coalesce(CASE WHEN f BETWEEN 0.2 AND 0.85 THEN e ELSE f END, 0), 9) AS weight, coalesce(f BETWEEN 0.2 AND 0.85, false) AS undecided FROM m""")
 def two_round_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SURVEY SM14: weights of pairs by two rounds of votes."""
-    votes = table(spark, sf_dir, "lineitem").where("l_linenumber <= 6").selectExpr("l_partkey AS pair", "l_linenumber AS nth", "l_discount * 10 AS vote")
+    votes = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS pair", "l_linenumber AS nth", "l_discount * 10 AS vote")
     return pair_means(votes).withColumn("weight", F.round("weight", 9))
 
 
@@ -241,14 +241,14 @@ def weights_by_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT l_orderkey AS task, l_linenumber AS keep, l_linenumber + 1 AS drop_, l_discount * 10 AS weight FROM lineitem WHERE l_linenumber <= 6),
+WITH p AS (SELECT l_orderkey AS task, l_linenumber AS keep, l_linenumber + 1 AS drop_, l_discount * 10 AS weight FROM lineitem),
 r AS (SELECT task, keep, weight, row_number() OVER (PARTITION BY task ORDER BY weight DESC, keep) AS k FROM p WHERE weight >= 0.55),
 f AS (SELECT task, list({'keep': keep, 'k': k} ORDER BY k) AS ps FROM r GROUP BY 1),
 x AS (SELECT task, list_reduce(list_prepend([]::int[], list_transform(ps, lambda q: [q.keep])), lambda gone, q: CASE WHEN list_contains(gone, q[1]) OR list_contains(gone, q[1] + 1) THEN gone ELSE list_append(gone, q[1] + 1) END) AS gone FROM f)
 SELECT task, array_to_string(gone, ',') AS dropped FROM x""")
 def heaviest_duplicates_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SURVEY SM17: duplicates dropped pair by pair, the heaviest first."""
-    pairs = table(spark, sf_dir, "lineitem").where("l_linenumber <= 6").selectExpr("l_orderkey AS task", "l_linenumber AS keep", "l_linenumber + 1 AS `drop`", "l_discount * 10 AS weight")
+    pairs = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS task", "l_linenumber AS keep", "l_linenumber + 1 AS `drop`", "l_discount * 10 AS weight")
     return dropped_duplicates(pairs).select("task", F.array_join("dropped", ",").alias("dropped"))
 
 
@@ -311,10 +311,15 @@ def earned_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("task", "run", F.when(earned.isNotNull(), F.array_join(flags, ",")).alias("earned"))
 
 
-@query("SELECT o_orderkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'king' ELSE 'challenger' END AS side, j AS judge, 'q1=A,q2=A' AS answers, 0.0::double AS yes_rate, true AS parse_ok, 'looped' AS reason FROM orders, (SELECT unnest(['j1', 'j2', 'j3']) AS j) WHERE o_orderstatus = 'P'")
+@query("""
+SELECT o_orderkey AS task, CASE WHEN o_orderkey % 2 = 0 THEN 'king' ELSE 'challenger' END AS side, j AS judge,
+    array_to_string(list_transform(['q1', 'q2', 'q3'][:1 + o_custkey % 3], lambda q: q || '=A'), ',') AS answers, 0.0::double AS yes_rate, true AS parse_ok, o_orderpriority AS reason
+FROM orders, (SELECT unnest(['j1', 'j2', 'j3']) AS j)""")
 def zeroed_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SURVEY XA14, XA15: records of sides that get no credit without being judged."""
-    sides = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").selectExpr("o_orderkey AS task", "CASE WHEN o_orderkey % 2 = 0 THEN 'king' ELSE 'challenger' END AS side", "array('q1', 'q2') AS questions", "'looped' AS reason")
+    sides = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS task", "CASE WHEN o_orderkey % 2 = 0 THEN 'king' ELSE 'challenger' END AS side",
+        "slice(array('q1', 'q2', 'q3'), 1, 1 + CAST(o_custkey % 3 AS INT)) AS questions", "o_orderpriority AS reason")
     made = zeroed_records(sides, ["j1", "j2", "j3"])
     return made.select("task", "side", "judge", F.array_join(F.transform(F.map_entries("answers"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("answers"), "yes_rate", "parse_ok", "reason")
 
