@@ -37,6 +37,7 @@ MODULES = (
     "millrace.operators.claims",
     "millrace.operators.imports",
     "millrace.operators.evidence",
+    "millrace.operators.paths",
 )
 
 
