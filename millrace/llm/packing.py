@@ -5,7 +5,9 @@ cut). Pieces are dealt by hash into groups of about `GROUP` pieces, and each gro
 own, so no task sees more than that. In a group, best-fit decreasing gives the first incumbent. Bin
 completion then takes the longest piece left, walks the undominated fillings of the space beside it,
 least waste first, and drops branches whose waste can't match the incumbent, later can't beat it. Choices widen
-from round to round, up to all undominated fillings; a round ends by itself or when its steps are spent.
+from round to round, up to all undominated fillings; a round ends by itself or when its steps are spent. Where it ends
+without a proof, parts of the packing around the bins of most waste are completed anew, longest piece first, with
+fillings of least waste found by subset sums, and kept where they pack as well.
 
 Defined results: a null or empty text is one piece of the end id alone; repeated rows are packed as
 rows of their own; an empty table gives no rows. Ties: pieces of equal length are taken by id, piece and
@@ -15,6 +17,7 @@ checksum; of fillings with equal waste the one with fewer pieces goes first.
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -34,6 +37,8 @@ CAPACITY, END_ID, GROUP = 4096, 1, 16384
 #: (None: all of them). `EFFORT` is what a round may spend in steps, for each piece.
 WIDTHS: tuple[tuple[int | None, int | None], ...] = ((1, 3), (4, 8), (None, None))
 EFFORT = 60
+#: Bins completed anew at a time, and after how many attempts without a gain, for each thousand pieces, no more are made.
+PART, PATIENCE = 48, 500
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -142,10 +147,11 @@ class Stock:
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
-    """Sequences that any packing needs, the most that a threshold k proves.
+    """Sequences that any packing needs, the most that a threshold k or a rounding proves.
 
     Pieces over capacity - k and over half of it need a sequence each. Those of k to half a capacity
-    must go beside the latter kind or into sequences of their own. k = 0 is the bound by total length.
+    must go beside the latter kind or into sequences of their own. k = 0 is the bound by total length. Roundings are the
+    dual feasible functions that count a length in k-ths of a sequence, so that k of those over a (k+1)-th fill one.
     """
     n = np.sort(np.array(lengths, np.int64))
     total = np.concatenate(([0], np.cumsum(n)))
@@ -155,7 +161,68 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     huge = np.maximum(np.searchsorted(n, capacity - k, "right"), half)
     room = (huge - half) * capacity - (total[huge] - total[half])
     more = np.maximum(0, -((room - (total[half] - total[least])) // capacity))
-    return int((len(n) - half + more).max())
+    rounded = [int(np.where((i + 1) * n % capacity == 0, n * i, (i + 1) * n // capacity * capacity).sum()) for i in range(2, 9)]
+    return max(int((len(n) - half + more).max()), *(-(-r // (i * capacity)) for i, r in enumerate(rounded, 2)))
+
+
+def completed(lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+    """Bins of the lengths: each the longest left with a filling of least waste, any of them by chance.
+
+    Sums within reach are the bits of an integer, kept as they were before each length, which then tells the lengths of
+    the best sum.
+    """
+    left = sorted(lengths, reverse=True)
+    bins = []
+    while left:
+        longest, *rest = left
+        room = capacity - longest
+        rng.shuffle(rest)
+        reach, before, within = 1, [], (2 << room) - 1
+        for n in rest:
+            if reach >> room:
+                break
+            before.append(reach)
+            reach |= (reach << n) & within
+        at = reach.bit_length() - 1
+        chosen, left = [longest], rest[len(before) :]
+        for n, was in zip(rest[len(before) - 1 :: -1] if before else [], reversed(before), strict=False):
+            if was >> at & 1:
+                left.append(n)
+            else:
+                chosen.append(n)
+                at -= n
+        bins.append(chosen)
+        left.sort(reverse=True)
+    return bins
+
+
+def recompleted(bins: list[list[int]], capacity: int, bound: int, attempts: int) -> list[list[int]]:
+    """A packing in as many bins or fewer: again and again some bins with waste and some full ones are completed anew
+    by chance (of a fixed seed), and the result stands unless it needs more bins or spreads its waste wider."""
+    rng = random.Random(len(bins))
+    rest = [b for b in bins if sum(b) < capacity]
+    full = [b for b in bins if sum(b) == capacity]
+    patience = PATIENCE * (1 + sum(map(len, bins)) // 1000)
+    idle = 0
+
+    def worth(some: list[list[int]]) -> tuple[int, int]:
+        return -len(some), sum(sum(b) ** 2 for b in some)
+
+    for _ in range(attempts):
+        if len(rest) + len(full) <= bound or idle >= patience:
+            break
+        take = min(len(rest), rng.randint(2, PART // 2))
+        for some, n in ((rest, take), (full, min(len(full), PART - take))):
+            for i in range(n):
+                j = rng.randrange(i, len(some))
+                some[i], some[j] = some[j], some[i]
+        old = rest[:take] + full[: PART - take]
+        new = completed([n for b in old for n in b], capacity, rng)
+        idle = 0 if worth(new) > worth(old) else idle + 1
+        if worth(new) >= worth(old):
+            rest[:take] = [b for b in new if sum(b) < capacity]
+            full[: PART - take] = [b for b in new if sum(b) == capacity]
+    return rest + full
 
 
 def search(lengths: list[int], capacity: int, most: int, width: tuple[int | None, int | None], effort: int) -> tuple[list[list[int]] | None, bool]:
@@ -219,8 +286,8 @@ def bin_completion(lengths: list[int], capacity: int, effort: int | None = None,
     Best-fit decreasing is the first incumbent. Bin completion runs over it with ever wider choices,
     in each round with `effort` steps (EFFORT for each piece unless stated); the first round
     may match the incumbent, and its bins, which waste least early on, are then the ones kept. The answer
-    is proven if it meets the lower bound or a round with no limit of width came to its end; else the gap is at
-    most the difference to the bound.
+    is proven if it meets the lower bound or a round with no limit of width came to its end; else bins with waste are
+    completed anew, as often as there are lengths, and the gap is at most the difference to the bound.
     """
     lengths = sorted(lengths, reverse=True)
     incumbent = best_fit(lengths, capacity)
@@ -230,7 +297,8 @@ def bin_completion(lengths: list[int], capacity: int, effort: int | None = None,
         incumbent = best or incumbent
         if proven or len(incumbent) <= bound:
             return incumbent, True
-    return incumbent, False
+    incumbent = recompleted(incumbent, capacity, bound, len(lengths) if effort is None else effort // EFFORT)
+    return incumbent, len(incumbent) <= bound
 
 
 def pack(parts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +145,28 @@ def test_bin_completion_beats_best_fit_and_runs_where_best_fit_is_optimal():
     assert packing.bin_completion([33] * 7, 100, 0)[0] == [[33] * 3, [33] * 3, [33]]  # no effort: best fit
 
 
+def test_bins_completed_anew():
+    rng = random.Random(3)
+    triples = [n for a, b in ((rng.randint(1000, 1600), rng.randint(1000, 1600)) for _ in range(600)) for n in (a, b, 4096 - a - b)]
+    best = packing.best_fit(sorted(triples, reverse=True), 4096)
+    got, _ = packing.bin_completion(triples, 4096)
+    assert sorted(n for b in got for n in b) == sorted(triples) and max(map(sum, got)) <= 4096
+    assert packing.lower_bound(triples, 4096) == 600 and len(best) == 655 and len(got) <= 602
+    assert packing.bin_completion(triples, 4096)[0] == got  # the chances are of a fixed seed
+    for n in range(60):
+        some = [rng.randint(1, 40 + n) for _ in range(n)]
+        bins = packing.completed(some, 100, rng)
+        assert sorted(x for b in bins for x in b) == sorted(some) and all(sum(b) <= 100 for b in bins)
+        start = packing.best_fit(sorted(some, reverse=True), 100)
+        again = packing.recompleted(start, 100, packing.lower_bound(some, 100) if n else 0, 20)
+        assert sorted(x for b in again for x in b) == sorted(some) and len(again) <= len(start)
+    # the first bin's filling wastes least among all fillings
+    for _ in range(50):
+        head, *rest = sorted((rng.randint(10, 60) for _ in range(9)), reverse=True)
+        sums = {sum(c) for k in range(9) for c in combinations(rest, k)}
+        assert sum(packing.completed([head, *rest], 100, rng)[0]) == head + max(x for x in sums if x <= 100 - head)
+
+
 def test_tokens_equal_the_library():
     rng = random.Random(1)
     some = ["".join(rng.choice("aAbBeE's'll''t've'!?..,,  \n\t09½²ÀéßñŒœ€日本́<|> Σσς") for _ in range(rng.randint(0, 40))) for _ in range(800)]
