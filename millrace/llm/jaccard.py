@@ -10,7 +10,9 @@ n * n / 50 combinations, 8 million for 20,000 words, so sets of `LONG` shingles
 alone; sets that may match either kind are indexed both ways, and the links are the same.
 
 Which shingles are frequent only decides speed; any table gives the same result. It is counted over
-all documents and holds at most `MAX_FREQUENT` shingles, so it can be broadcast.
+all documents and holds at most `MAX_FREQUENT` shingles, so it can be broadcast. Shingles that crowd in places are
+counted window by window; those spread thinly over a large corpus by one in `ONE_IN` of all (shingle, set) pairs, taken
+by hash, so that what is shuffled for the counts stays a fixed part of the input.
 
 Documents with equal sets enter once. Within an index entry, each set is first paired with the most
 central one only, and pairs are verified exactly, after a bound from small sketches; then only sets that are still in different
@@ -36,8 +38,10 @@ from millrace.llm.components import components
 from millrace.llm.shared import discard, written
 
 WORDS = 5
-#: A shingle counted this often is frequent; the count only sees shingles met LOCAL times in a window.
+#: A shingle counted this often is frequent; the count of a window only sees shingles met LOCAL times in it.
 FREQUENT, LOCAL, WINDOW = 64, 4, 4_000_000
+#: Part of all (shingle, set) pairs, by hash, whose counts are kept without a window; MET of them make a shingle frequent.
+ONE_IN, MET = 64, 8
 MAX_FREQUENT = 500_000
 LONG = 1000
 #: Parts that the rows of one component are dealt to when they get its smallest key.
@@ -112,37 +116,49 @@ class Order:
 
 
 def _sets_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows (key, n, set_id) of documents and rows (shingle, seen) of shingles met often in a window."""
+    """Rows (key, n, set_id) of documents and rows (shingle, seen, met) of shingles met often in a window, or in the part
+    of pairs that is counted everywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, thin, size = [], [], 0
+        names = ["key", "n", "set_id", "shingle", "seen", "met"]
 
-        def counted() -> pa.RecordBatch:
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            s, n = s[n >= LOCAL], n[n >= LOCAL]
-            return batch([None] * len(s), [None] * len(s), [None] * len(s), s.view(np.int64), n)
+        def counted() -> Iterator[pa.RecordBatch]:
+            for some, least, column in ((held, LOCAL, 4), (thin, 1, 5)):
+                s, n = np.unique(np.concatenate(some), return_counts=True)
+                s, n = s[n >= least], n[n >= least]
+                rows = [[None] * len(s)] * 6
+                rows[3], rows[column] = s.view(np.int64), n
+                yield batch(rows)
+                some.clear()
 
-        def batch(key, n, ids, shingle, seen) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((key, pa.int64()), (n, pa.int64()), (ids, pa.int64()), (shingle, pa.int64()), (seen, pa.int64()))], ["key", "n", "set_id", "shingle", "seen"])
+        def batch(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names)
 
         for b in K.chunks(batches, "text"):
             sets = document_sets(K.Texts(b.column(1)))
             none = [None] * len(sets)
-            yield batch(b.column(0), [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets], none, none)
-            held += [s for s in sets if len(s)]
-            size += sum(map(len, sets))
+            ids = [set_id(s) if len(s) else None for s in sets]
+            yield batch([b.column(0), [len(s) for s in sets], ids, none, none, none])
+            for s, i in zip(sets, ids, strict=True):
+                if i is not None:
+                    held.append(s)
+                    thin.append(s[K.mix64(s ^ np.uint64(i % 2**64)) % np.uint64(ONE_IN) == 0])
+                    size += len(s)
             if size > WINDOW:
-                yield counted()
-                held, size = [], 0
+                yield from counted()
+                size = 0
         if held:
-            yield counted()
+            yield from counted()
 
-    return docs.mapInArrow(run, "key bigint, n bigint, set_id bigint, shingle bigint, seen bigint")
+    return docs.mapInArrow(run, "key bigint, n bigint, set_id bigint, shingle bigint, seen bigint, met bigint")
 
 
 def _frequent(counts: DataFrame) -> np.ndarray:
     """The frequent shingles; the least count is doubled until at most MAX_FREQUENT are left."""
-    total = counts.groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT)
+    met = F.sum("met")
+    everywhere = F.when(met >= MET, met * ONE_IN)
+    total = counts.groupBy("shingle").agg(F.greatest(F.sum("seen"), everywhere).alias("seen")).where(F.col("seen") >= FREQUENT)
     level = total.groupBy(F.floor(F.log2("seen")).alias("k")).count().collect()
     left, least = sum(r["count"] for r in level), 0
     for r in sorted(level, key=lambda r: r.k):
@@ -179,20 +195,34 @@ def possible(n: np.ndarray, rest: np.ndarray, m: int, others: int) -> np.ndarray
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Whole runs of equal sig from batches sorted by it, as arrays of the other columns."""
-    rest: list[np.ndarray] | None = None
+    """Whole runs of equal sig from batches sorted by it, as arrays of the other columns.
+
+    The parts of the run that is still open are put together once, when it ends.
+    """
+    parts: list[list[np.ndarray]] = []
+
+    def ended() -> Iterator[tuple[np.ndarray, ...]]:
+        whole = tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
+        if whole and len(whole[0]) > 1:
+            yield whole[1:]
+
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        if not len(cols[0]):
+            continue
         cut = np.append(np.flatnonzero(np.diff(cols[0])) + 1, len(cols[0]))
         begin = np.append(0, cut[:-1])
-        for i in np.flatnonzero(cut - begin > 1):
-            if cut[i] < len(cols[0]):
-                yield tuple(c[begin[i] : cut[i]] for c in cols[1:])
-        rest = [c[begin[-1] :] for c in cols]
-    if rest is not None and len(rest[0]) > 1:
-        yield tuple(c for c in rest[1:])
+        if parts and parts[0][0][0] != cols[0][0]:
+            yield from ended()
+        if len(cut) > 1:
+            parts.append([c[: cut[0]] for c in cols])
+            yield from ended()
+            for i in np.flatnonzero(cut - begin > 1):
+                if 0 < i < len(cut) - 1:
+                    yield tuple(c[begin[i] : cut[i]] for c in cols[1:])
+        parts.append([c[begin[-1] :] for c in cols])
+    yield from ended()
 
 
 def _pairs(rows: DataFrame, crossing: bool) -> DataFrame:

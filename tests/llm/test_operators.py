@@ -167,6 +167,29 @@ def test_bins_completed_anew():
         assert sum(packing.completed([head, *rest], 100, rng)[0]) == head + max(x for x in sums if x <= 100 - head)
 
 
+def test_runs_of_an_index():
+    rng = np.random.default_rng(4)
+    for turn in range(40):
+        sig = np.sort(rng.integers(0, rng.integers(1, 12), rng.integers(0, 60)))
+        ids = np.arange(len(sig))
+        at = np.sort(rng.integers(0, len(sig) + 1, turn % 7))
+        batches = [pa.RecordBatch.from_arrays([pa.array(s), pa.array(i)], ["sig", "set_id"]) for s, i in zip(np.split(sig, at), np.split(ids, at), strict=True)]
+        want = [ids[sig == v].tolist() for v in np.unique(sig) if (sig == v).sum() > 1]
+        assert [g[0].tolist() for g in jaccard._groups(iter(batches))] == want
+
+
+def test_thinly_spread_shingles_are_counted(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    line = "this one line stands in all of them and often enough to be met"
+    docs = [(i, " ".join(word() for _ in range(20)) + " " + line) for i in range(3000)]
+    monkeypatch.setattr(jaccard, "LOCAL", 10**9)  # no window sees anything
+    made = jaccard._sets_and_counts(spark.createDataFrame(docs, "key bigint, text string"))
+    got = jaccard._frequent(made.where("shingle IS NOT NULL"))
+    want = jaccard.document_sets(jaccard.K.Texts(pa.array([line])))[0]
+    assert set(want.tolist()) == set(got.tolist())
+
+
 def test_tokens_equal_the_library():
     rng = random.Random(1)
     some = ["".join(rng.choice("aAbBeE's'll''t've'!?..,,  \n\t09½²ÀéßñŒœ€日本́<|> Σσς") for _ in range(rng.randint(0, 40))) for _ in range(800)]
