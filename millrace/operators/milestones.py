@@ -17,7 +17,7 @@ from millrace.session import table
 
 #: Words that give the reference away; evidence that a category admits, bounds of a vote.
 LEAKS = forms("the reference", "milestone/milestones", "vector of change", "the other/strong agent/agents", "the runs/accounts")
-UNDECIDED, FIRST_ORDERS, EARNED, JOIN_AT = (0.2, 0.85), 2, 0.5, 0.55
+UNDECIDED, FIRST_ORDERS, ALL_ORDERS, EARNED, JOIN_AT = (0.2, 0.85), 2, 6, 0.5, 0.55
 
 
 def exact_groups(items: DataFrame, key: str) -> DataFrame:
@@ -61,8 +61,9 @@ def merged(items: DataFrame) -> DataFrame:
 
 
 def pair_means(votes: DataFrame) -> DataFrame:
-    """(pair, weight, undecided) from votes (pair, nth, vote): the mean of the first orders, of all of them where that mean is undecided."""
-    both = votes.groupBy("pair").agg(F.avg(F.when(F.col("nth") <= FIRST_ORDERS, F.col("vote"))).alias("first"), F.avg("vote").alias("every"))
+    """(pair, weight, undecided) from votes (pair, nth, vote): the mean of orders 1 and 2, of orders 1 to 6 where that mean is
+    undecided; no later order is part of either round, and a pair met only in those has no row (SURVEY SM14)."""
+    both = votes.where(F.col("nth") <= ALL_ORDERS).groupBy("pair").agg(F.avg(F.when(F.col("nth") <= FIRST_ORDERS, F.col("vote"))).alias("first"), F.avg("vote").alias("every"))
     undecided = F.coalesce(F.col("first").between(*UNDECIDED), F.lit(False))
     return both.select("pair", F.coalesce(F.when(undecided, F.col("every")).otherwise(F.col("first")), F.lit(0.0)).alias("weight"), undecided.alias("undecided"))
 
