@@ -53,9 +53,8 @@ def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, model).select("doc_id", *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "base_failed", "kept")
+    rows = quality.judged(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rows.select("doc_id", *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "base_failed", "kept")
 
 
 def op10_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

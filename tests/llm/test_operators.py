@@ -518,6 +518,29 @@ def test_quality_keeps_and_drops(spark):
     assert all(r.kept != r.base_failed for r in everything)
 
 
+def test_quality_thresholds_come_from_all_labelled_rows(spark):
+    rng = random.Random(3)
+    good = [(i, " ".join("x#" if rng.random() < (0.6 if i % 400 == 0 else 0.02) else f"w{j}" for j in range(60))) for i in range(10_000)]
+    bad = [(20_000 + i, " ".join(f"w{j}" + "#" * (1 + i % 9) for j in range(60))) for i in range(90)]
+    docs = frame(spark, [*good, *bad]).repartition(5)
+    labels = spark.createDataFrame([(k, int(k < 20_000)) for k, _ in [*good, *bad]], "doc_id long, quality int")
+    stats = quality.statistics(pa.array([t for _, t in [*good, *bad]]))
+    model, use = quality.fit(docs, labels), ~quality.base_failed(stats)
+    n = int(use[: len(good)].sum())
+    assert 9_950 < n and use[len(good) :].all()
+    for forest, view, cut in zip(model.forests, quality.VIEWS, model.cuts, strict=True):
+        score = forest.score(quality.features(stats)[use][:, list(view)])
+        floor = np.sort(score[:n])[-10]  # nine rows, 0.1 %, may lie above
+        above = score[n:][score[n:] > floor]
+        assert cut == (floor + above.min() if len(above) else float("inf")) / 2
+    assert min(model.cuts) < float("inf")
+    assert quality.fit(docs.repartition(2), labels.repartition(7)).cuts == model.cuts
+    copies = docs.where("doc_id <= 1 OR doc_id >= 20080").selectExpr("*", "explode(sequence(1, if(doc_id < 2, 70000, 3)))").drop("col")
+    got = quality.judged(copies, labels).groupBy("doc_id").agg({"kept": "min", "anomaly": "max", "*": "count"}).toPandas()
+    assert dict(zip(got["doc_id"], got["count(1)"], strict=True)) == {0: 70_000, 1: 70_000, **{20_000 + i: 3 for i in range(80, 90)}}
+    assert not got[got.doc_id >= 20_000]["min(kept)"].any() and got[got.doc_id == 1]["min(kept)"].all()
+
+
 def test_sharding(spark, rows):
     got = sharding.shard(frame(spark, rows, True), "doc_id", "text", 8).collect()
     assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=key) == sorted(((k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in rows), key=key)
