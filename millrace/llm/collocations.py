@@ -15,18 +15,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import kernels as K
 from millrace.llm.shared import discard, written
 from millrace.llm.wordbytes import strings
 
+#: Rows and bytes that Spark hands to Python at once: a text is a row, in a relation with twelve bytes a word.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 LONGEST = 5
 BROADCAST_ROWS = 1_000_000
+#: Occurrences of a relation that a task works on at once (a longer text stands alone), pairs that it
+#: gathers before it counts them, and counts that it hands on at once.
+PLACES, PAIRS, COUNTS = 1 << 18, 1 << 21, 1 << 16
 #: A language's phrases are ranked in so many slices first, whose best are ranked together.
 SLICES = 64
 BREAK = np.zeros(256, bool)
@@ -77,12 +83,34 @@ def _of_texts(batches: Iterator[pa.RecordBatch]) -> Occurrences:
         yield p.place, p.key, p.doc, p.n
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """BATCH holds for what runs meanwhile."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a relation in slices of about PLACES occurrences."""
+    for b in batches:
+        size = np.diff(b.column(b.schema.get_field_index("place")).offsets.to_numpy())
+        cut = [0, *(np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // PLACES)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            yield b.slice(lo, hi - lo)
+
+
 def _of_pairs(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Occurrences]:
     """Rows of a relation as (place, key, row) of the occurrences that another one follows at the next
     place; key: both groups."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Occurrences:
-        for b in batches:
+        for b in _slices(batches):
             place, group = (b.column(b.schema.get_field_index(k)) for k in ("place", "group"))
             row = np.repeat(np.arange(len(place)), np.diff(place.offsets.to_numpy()))
             place, group = place.flatten().to_numpy().astype(np.int64), group.flatten().to_numpy()
@@ -95,10 +123,24 @@ def _of_pairs(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Occurrences]:
 
 
 def _pair_counts(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate(held)
+        held.clear()
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        n = np.diff(first, append=len(key))
+        key = key[first]
+        for lo in range(0, len(key), COUNTS):
+            yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + COUNTS]), pa.array(n[lo : lo + COUNTS])], ["key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for _, key, _, _ in _of_pairs(groups)(batches):
-            key, n = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            held.append(key)
+            if sum(map(len, held)) >= PAIRS:
+                yield from counted(held)
+        if held:
+            yield from counted(held)
 
     return run
 
@@ -155,7 +197,7 @@ def _thinned(rows: DataFrame, read: Callable[[Iterator[pa.RecordBatch]], Occurre
     met = met.groupBy("r").agg(F.collect_list(F.struct("key", "id")).alias("met"))  # at most the words of a text
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             place, keys, met = b.columns
             met_row = np.repeat(np.arange(b.num_rows), np.diff(met.offsets.to_numpy()))
             row = np.repeat(np.arange(b.num_rows), np.diff(place.offsets.to_numpy()))
@@ -235,7 +277,8 @@ def collocations(docs: DataFrame, least: int = 100, best: int = 2000, longest: i
     A null language is `und`; null, empty and wordless texts add nothing; repeated rows count each; no rows
     give none; other columns are not read. Words are told apart by 64 bits of hash, and counted by their letters.
     """
-    phrases, totals = frequent_phrases(docs, least, longest, lang, text)
+    with _small_batches(docs.sparkSession):  # all that goes through Python ends in there
+        phrases, totals = frequent_phrases(docs, least, longest, lang, text)
     kept = phrases.where("peer IS NULL OR peer < a").join(totals, "lang").withColumn("cut", _exact_score())
     kept = kept.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").cast("bigint").alias("score"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import collocations as C
@@ -58,6 +60,31 @@ def test_collocations_equal_plain_counts(spark, rows, monkeypatch, bound, least,
     assert got(df) == brute(rows, least, best)
 
 
+def test_large_batches_are_worked_on_in_slices():
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(400, rng.integers(0, 300), replace=False)) + 1 for _ in range(9_000)] + [np.arange(1, 400_000)]
+    groups = [rng.integers(0, 40, len(r)) for r in rows]
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([np.diff(r, prepend=0) for r in rows], pa.list_(pa.int32())), pa.array(groups, pa.list_(pa.int64()))], ["place", "group"]).slice(7)
+    whole = list(C._of_pairs(40)(iter([batch])))
+    assert sum(n for *_, n in whole) == batch.num_rows and len(whole) > 4 and max(len(key) for _, key, _, n in whole if n > 1) < C.PLACES + 300
+    want, lo = Counter(), 7
+    for place, key, row, n in whole:
+        ends = np.searchsorted(row, np.arange(n + 1))
+        for i in range(n):
+            r, g, own = rows[lo + i], groups[lo + i], slice(ends[i], ends[i + 1])
+            at = np.flatnonzero(np.diff(r) == 1)
+            assert (place[own] == r[at]).all() and (key[own] == g[at] * 40 + g[at + 1]).all()
+            want.update((g[at] * 40 + g[at + 1]).tolist())
+        lo += n
+    got = Counter()
+    for b in C._pair_counts(40)(iter([batch])):
+        for k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[k] += n
+    assert got == want
+    assert list(C._pair_counts(40)(iter([batch.slice(0, 0)]))) == []
+
+
 def test_scores_beyond_64_bits(spark):
     made = [("en", "a b", 9 * 10**14, [10**15, 9 * 10**14], [9 * 10**14 + 7, 9 * 10**14], 10**17)]
     row = spark.createDataFrame(made, "lang string, phrase string, a long, prefixes array<long>, suffixes array<long>, n long").select(C._exact_score().alias("s")).first().s
