@@ -317,7 +317,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     found = docs.join(of.hint("shuffle_hash"), "r").select("set_id", "text").mapInArrow(run, "set_id bigint, n bigint, sketch binary, shingles array<bigint>")
     found = written(found, "sets")
     likely = written(_likely(pairs, found.select("set_id", "n", "sketch")), "likely-pairs")
-    shingles = found.select("set_id", "shingles")
+    shingles = found.select("set_id", "shingles").hint("merge")  # Spark takes an array for one element when it sizes a table
     first = likely.join(shingles.withColumnsRenamed({"set_id": "a", "shingles": "sa"}), "a")
     second = first.join(shingles.withColumnsRenamed({"set_id": "b", "shingles": "sb"}), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -346,8 +346,10 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         labels = components(links.union(_verified(more, texts, sets)))
     discard(entries)
     named = sets.join(labels.select(F.col("v").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("key").alias("component_id"))
-    least = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))  # one row of a component for each part
+    # A row alone in its component has its own key. Of other components there is one row for each part; Spark sizes that table
+    # as if it were not exploded, so it is kept from being broadcast.
+    least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("key").alias("component_id"), F.count("*").alias("rows")).where("rows > 1")
+    least = least.select("label", "component_id", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")).hint("merge")
     return named.withColumn("salt", F.pmod(F.xxhash64("key", "set_id"), F.lit(SALTS)).cast("int")).join(least, ["label", "salt"], "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )

@@ -363,6 +363,24 @@ def test_jaccard(spark, rows, monkeypatch, frequent, local):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({x[2] for x in want}) and len(kept.columns) == 5
 
 
+def test_jaccard_broadcasts_no_table_that_spark_sizes_too_low(spark):
+    """Plans as they ran: neither the rows of one component for each part, nor sets of shingles, go to the driver."""
+    rows = [(i, t) for i, t in enumerate(texts(8, 60))]
+    linked = jaccard.linked_documents(frame(spark, rows))
+    linked.collect()
+    joins = [line for line in linked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in line]
+    assert [("SortMergeJoin" in line) for line in joins if "salt" in line] == [True], joins
+    ids = frame(spark, rows).selectExpr("doc_id key", "text")
+    sets = jaccard._sets_and_counts(ids).where("set_id IS NOT NULL").selectExpr("set_id", "xxhash64(key) AS r")
+    pairs = sets.selectExpr("set_id a").join(sets.selectExpr("set_id b")).where("a < b").distinct()
+    plans, keep = [], jaccard.written
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or keep(df, name))
+        assert jaccard._verified(pairs, ids.selectExpr("xxhash64(key) AS r", "text"), sets).count()
+    plan = dict(plans)["links"]
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan, plan
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ü", "same"), (2, None, "same"), (3, "http://b", None), (4, "http://c", ""), (5, "u", "x" * 200_000), (None, "n", "same"), (1, "http://a/ü", "same")]
     pages += [(10 + i, f"http://d/{i}", f"<p>page {i % 40}</p>" * 20) for i in range(90)]
