@@ -126,7 +126,7 @@ def spectral(pairs: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("tensor") == HEAD, F.col("scale"))), F.lit(1.0)).alias("head_scale"), F.coalesce(F.median(F.when(F.col("moved"), F.col("scale"))), F.lit(1.0)).alias("global_scale"))
     structured = F.when(F.col("delta") > 0, F.coalesce("energy", F.lit(0.0)) / F.col("delta")).otherwise(0.0)
     size = F.when(F.col("anchor") > 0, F.sqrt(F.col("all_delta") / F.col("anchor"))).otherwise(0.0)
-    ratio = F.coalesce(F.col("embedded") / F.greatest("body", F.lit(1e-12)), F.lit(0.0))
+    ratio = F.coalesce(F.when(F.col("body").isNotNull(), F.col("embedded") / F.greatest("body", F.lit(1e-12))), F.lit(0.0))
     return sums.join(medians, ["model", "of"]).select(
         "model", "of", structured.alias("structured"), size.alias("rel"), (F.sqrt(structured) * size).alias("rel_struct"), "touched", "spikes_med", ratio.alias("embed_ratio"), "head_scale", "global_scale")
 
@@ -252,8 +252,14 @@ SELECT 'm' || m AS model, 'm' || o AS ancestor, round(sqrt(sum(delta) / sum(anch
     round(any_value(x.ratio), 5) AS embed_ratio, count(*) AS touched
 FROM c JOIN (SELECT m, o, avg(rel) FILTER (embedded) / avg(rel) FILTER (NOT embedded) AS ratio FROM t GROUP BY ALL) x USING (m, o) GROUP BY m, o""")
 def weight_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SURVEY AG27: size, scales and balance of each model's change against the nearest of the three before it."""
-    got = verdicts(*_neighbours(spark, sf_dir))
+    """SURVEY AG27: size, scales and balance of each model's change against the nearest of the three before it; no scale of the head
+    or balance where the two have no head, or not both embeddings and a body, in common."""
+    models, bank, near = _neighbours(spark, sf_dir)
+    kind = tensor_type(F.col("tensor"))
+    common = against(models, bank, near).groupBy("model", F.col("of").alias("ancestor")).agg(
+        F.bool_or(F.col("tensor") == HEAD).alias("headed"), (F.bool_or(kind.isin(*BODY)) & F.bool_or(kind.isin(*EMBEDDINGS))).alias("balanced"))
+    got = verdicts(models, bank, near).join(common, ["model", "ancestor"])
+    got = got.withColumns({"head_scale": F.when(F.col("headed"), F.col("head_scale")), "embed_ratio": F.when(F.col("balanced"), F.col("embed_ratio"))})
     return got.select("model", "ancestor", *(F.round(c, 5).alias(c) for c in ("rel", "head_scale", "global_scale", "embed_ratio")), "touched")
 
 

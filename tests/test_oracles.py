@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from millrace.operators import signals
 from millrace.plans import registry
 from millrace.session import TABLES
 
@@ -57,3 +58,11 @@ def test_row_positions_in_a_table_of_several_files(spark, sf, tmp_path):
     for part, low, high in (("b", 0, 60), ("a", 60, 150), ("d", 150, 150), ("c", 150, 10**9)):
         duckdb.sql(f"COPY (SELECT * FROM '{sf}/documents.parquet' WHERE doc_id >= {low} AND doc_id < {high}) TO '{tmp_path}/documents.parquet/part-{part}.parquet' (ROW_GROUP_SIZE 20)")
     assert len(agrees(spark, "row_positions", tmp_path)) == 200
+
+
+@pytest.mark.parametrize("over", [1, 2, 3])
+def test_weight_changes_of_a_model_that_lacks_tensors(spark, sf, tmp_path, over):
+    duckdb.sql(f"COPY (SELECT * FROM '{sf}/embeddings.parquet' WHERE vec_id < {40 + over}) TO '{tmp_path}/embeddings.parquet'")
+    assert len(agrees(spark, "weight_changes", tmp_path)) == 10
+    last = signals.verdicts(*signals._neighbours(spark, str(tmp_path))).where("model = 'm10'").first()
+    assert last.head_scale == 1 and (last.embed_ratio == 0) == (over == 1) and last.embed_ratio < 2
