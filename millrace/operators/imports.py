@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -15,6 +15,8 @@ from millrace.plans.registry import query
 from millrace.session import table
 
 ROOTS = ("", "src")
+#: Rows of one key that are joined with a list in one task.
+PART = 1000
 
 
 def module_names(code: str) -> list[str]:
@@ -45,31 +47,53 @@ def _names(code):
     return run(code)
 
 
+def _dealt(rows: DataFrame, lists: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with lists, which has one row of each key. A key of more than PART rows is dealt, by the column `by`, to
+    as many parts as it takes, so that no task makes what all its rows are joined with."""
+    many = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > PART).select(key, F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    dealt = rows.join(many, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(by), "parts").cast("int"), F.lit(0))).drop("parts")
+    each = lists.join(many, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(each.hint("merge"), [key, "part"]).drop("part")  # not broadcast: Spark sizes it as if it were not exploded
+
+
 def imported_files(sources: DataFrame, files: DataFrame, levels: int = 2) -> DataFrame:
     """(id, path, level): files of a source's tree that its code imports, and those that they import, `levels` deep, each with
     the first level that reaches it (SURVEY XA62).
 
     sources: (id, tree, code, folder); files: (tree, path, text). A module is looked for from the root, from `src` and
     from the importing file's folder, as a file or a package. A file that imports itself, or one found before, is
-    followed once. What is joined are names, each a key of its own; code is read once for each source and file.
+    followed once. Names become files once for each source and each path, whose texts count together; what lies
+    deeper is found once for all sources that start from the same files, and only the result has rows for each of them.
     """
-    graph = files.select("tree", "path", F.regexp_extract("path", r"^(?:(.*)/)?[^/]*\z", 1).alias("folder"), F.explode(_names("text")).alias("name"))
-    known = files.select("tree", "path").distinct()
 
-    def found(names: DataFrame) -> DataFrame:
-        """names (id, tree, folder, name) as the files of the tree that they stand for."""
+    def node(path) -> Column:
+        """A file as one string; the hexadecimal tree holds no slash."""
+        return F.concat(F.hex(F.col("tree").cast("string")), F.lit("/"), path)
+
+    def paths(nodes) -> Column:
+        return F.array_distinct(F.transform(nodes, lambda n: F.substr(n, F.instr(n, F.lit("/")) + 1)))
+
+    known = files.select(node("path").alias("node")).distinct()
+
+    def found(names: DataFrame, key: str) -> DataFrame:
+        """names (key, tree, folder, name) as (key, node), the files of the tree that they stand for."""
         base = F.replace("name", F.lit("."), F.lit("/"))
         roots = F.array(*(F.lit(r) for r in ROOTS), "folder")
         ways = F.flatten(F.transform(roots, lambda r: F.array(*(F.concat(F.when(r == "", "").otherwise(F.concat(r, F.lit("/"))), base, F.lit(end)) for end in (".py", "/__init__.py")))))
-        return names.select("id", "tree", F.explode(F.array_distinct(ways)).alias("path")).join(known, ["tree", "path"]).distinct()
+        return names.select(key, "tree", F.explode(F.array_distinct(ways)).alias("path")).select(key, node("path").alias("node")).join(known, "node").select(key, "node").distinct()
 
+    folder = F.regexp_extract("path", r"^(?:(.*)/)?[^/]*\z", 1)
+    graph = found(files.select(node("path").alias("at"), "tree", folder.alias("folder"), F.explode(_names("text")).alias("name")).distinct(), "at")
+    graph = graph.groupBy("at").agg(F.collect_list("node").alias("nodes"))
     names = sources.select("id", "tree", F.coalesce("folder", F.lit("")).alias("folder"), F.explode(_names("code")).alias("name"))
-    now = found(names)
-    reached = now.withColumn("level", F.lit(1))
+    own = found(names, "id").groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("start"))
+    reached = own.select("start").distinct().select("start", F.col("start").alias("now"), F.col("start").alias("all"), F.transform(paths("start"), lambda p: F.struct(p.alias("path"), F.lit(1).alias("level"))).alias("found"))
     for level in range(2, levels + 1):
-        now = found(now.join(graph, ["tree", "path"]).select("id", "tree", "folder", "name"))
-        reached = reached.unionByName(now.withColumn("level", F.lit(level)))
-    return reached.groupBy("id", "path").agg(F.min("level").alias("level"))
+        next_ = _dealt(reached.select("start", F.explode("now").alias("at")), graph, "at", "start").groupBy("start").agg(F.flatten(F.collect_list("nodes")).alias("next"))
+        reached = reached.join(next_, "start", "left").withColumn("now", F.array_except(F.coalesce("next", F.array().cast("array<string>")), "all"))
+        fresh = F.transform(F.array_except(paths("now"), F.transform("found", lambda f: f["path"])), lambda p: F.struct(p.alias("path"), F.lit(level).alias("level")))
+        reached = reached.select("start", "now", F.concat("all", "now").alias("all"), F.concat("found", fresh).alias("found"))
+    return _dealt(own, reached.select("start", "found"), "start", "id").select("id", F.explode("found").alias("f")).select("id", "f.path", "f.level")
 
 
 _CODE = """

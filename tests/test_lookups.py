@@ -58,6 +58,27 @@ def test_imports_two_levels_deep(spark):
     assert ast.parse(FILES["main.py"])
 
 
+def rows_of_joins(plan) -> int:
+    """Rows that the joins of a plan put out, as it ran."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return rows_of_joins(plan.executedPlan())
+    below = [plan.plan()] if "QueryStage" in plan.getClass().getSimpleName() else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    return own + sum(map(rows_of_joins, below))
+
+
+def test_files_and_sources_of_one_path_are_followed_together(spark, monkeypatch):
+    monkeypatch.setattr(I, "PART", 7, raising=False)  # parts of hot keys
+    many = [("t", "hub.py", f"import leaf{i % 5}, leaf{i % 7}\nx = {i}") for i in range(300)]
+    files = spark.createDataFrame([*many, *(("t", f"leaf{i}.py", "import hub, leaf6") for i in range(7))], "tree string, path string, text string")
+    sources = spark.createDataFrame([(i, "t", "import hub" if i % 3 else "import leaf1", "") for i in range(200)], "id int, tree string, code string, folder string")
+    got = I.imported_files(sources, files)
+    rows = {(r.id, r.path): r.level for r in got.collect()}
+    hub = {"hub.py": 1} | {f"leaf{i}.py": 2 for i in range(7)}
+    assert rows == {(i, p): n for i in range(200) for p, n in (hub if i % 3 else {"leaf1.py": 1, "hub.py": 2, "leaf6.py": 2}).items()}
+    assert rows_of_joins(got._jdf.queryExecution().executedPlan()) < 10_000
+
+
 @pytest.fixture
 def keyed(spark, tmp_path):
     made = {}
