@@ -81,3 +81,13 @@ def test_each_stage_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.benchmark(spark, some, sf).count() == some.count()
     unlabelled = some.withColumn("lang", some.lang.isNull().cast("string")).where("lang = 'x'")
     assert corpus_pipeline.language(spark, unlabelled, sf).collect() == []
+
+
+def test_near_duplicates_broadcast_no_exploded_table(spark, monkeypatch):
+    plans, keep = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or keep(df, name))
+    rows = [(i, f"one two three four five six seven eight nine ten {i // 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 20
+    joins = [line for line in plans["stay"].splitlines() if "Join" in line and "salt" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0], joins
